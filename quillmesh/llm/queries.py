@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators.timestamps import ZoneRules, normalize_times
 from ..session import table
-from . import conversations
+from . import conversations, encoding, leakage, splitting, stuffing
 
 
 def _timed_messages(spark, sf_dir):
@@ -21,5 +21,50 @@ def p2_found(spark, sf_dir):
     return p2_turns(spark, sf_dir).select("conv_id", "turn", "message_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns}
-ORACLE: dict[str, str] = {}
+def p4_pieces(spark, sf_dir):
+    return splitting.split_oversized(table(spark, sf_dir, "chunks"))
+
+
+def p4_found(spark, sf_dir):
+    return p4_pieces(spark, sf_dir).where("piece = 0 and n_pieces > 1").select("chunk_id")
+
+
+def p8_ids(spark, sf_dir):
+    return encoding.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p8_decoded(spark, sf_dir):
+    return encoding.decode_corpus(p8_ids(spark, sf_dir))
+
+
+def _leaks(spark, sf_dir):
+    return leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark, sf_dir):
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p9_clean(spark, sf_dir):
+    return leakage.clean_documents(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
+
+
+def p10_found(spark, sf_dir):
+    return stuffing.stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_turns": p2_turns,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
+    "p9_found": p9_found,
+    "p9_clean": p9_clean,
+    "p10_found": p10_found,
+}
+ORACLE: dict[str, str] = {
+    "p4_found": "SELECT id AS chunk_id FROM chunks WHERE greatest(1, length(content) // 4) > 500",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
