@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators.timestamps import ZoneRules, normalize_times
 from ..session import table
-from . import conversations, encoding, leakage, splitting, stuffing
+from . import conversations, encoding, leakage, neighbors, splitting, stuffing
 
 
 def _timed_messages(spark, sf_dir):
@@ -29,6 +29,14 @@ def p4_found(spark, sf_dir):
     return p4_pieces(spark, sf_dir).where("piece = 0 and n_pieces > 1").select("chunk_id")
 
 
+def p6_neighbors(spark, sf_dir):
+    return neighbors.nearest(table(spark, sf_dir, "chunk_embeddings"), "chunk_id", "embedding")
+
+
+def p6_found(spark, sf_dir):
+    return neighbors.neighbor_pairs(p6_neighbors(spark, sf_dir))
+
+
 def p8_ids(spark, sf_dir):
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -58,6 +66,8 @@ QUERIES = {
     "p2_turns": p2_turns,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
+    "p6_neighbors": p6_neighbors,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_found": p9_found,
