@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators.timestamps import ZoneRules, normalize_times
 from ..session import table
-from . import conversations, encoding, leakage, neighbors, splitting, stuffing
+from . import conversations, encoding, leakage, names, neighbors, splitting, stuffing
 
 
 def _timed_messages(spark, sf_dir):
@@ -37,6 +37,11 @@ def p6_found(spark, sf_dir):
     return neighbors.neighbor_pairs(p6_neighbors(spark, sf_dir))
 
 
+def p7_found(spark, sf_dir):
+    people = names.linked_pairs(table(spark, sf_dir, "people"), "people")
+    return people.unionAll(names.linked_pairs(table(spark, sf_dir, "producers"), "producers"))
+
+
 def p8_ids(spark, sf_dir):
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "p4_pieces": p4_pieces,
     "p6_found": p6_found,
     "p6_neighbors": p6_neighbors,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_found": p9_found,
