@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators.timestamps import ZoneRules, normalize_times
 from ..session import table
-from . import conversations, encoding, leakage, names, neighbors, splitting, stuffing
+from . import conversations, encoding, leakage, names, neighbors, pii, splitting, stuffing
 
 
 def _timed_messages(spark, sf_dir):
@@ -29,6 +29,19 @@ def p4_found(spark, sf_dir):
     return p4_pieces(spark, sf_dir).where("piece = 0 and n_pieces > 1").select("chunk_id")
 
 
+def _fields_and_model(spark, sf_dir):
+    fields = pii.text_fields(lambda name: table(spark, sf_dir, name))
+    return fields, pii.fit_model(fields, table(spark, sf_dir, "people"))
+
+
+def p5_found(spark, sf_dir):
+    return pii.find_personal(*_fields_and_model(spark, sf_dir))
+
+
+def p5_redacted(spark, sf_dir):
+    return pii.redact(*_fields_and_model(spark, sf_dir))
+
+
 def p6_neighbors(spark, sf_dir):
     return neighbors.nearest(table(spark, sf_dir, "chunk_embeddings"), "chunk_id", "embedding")
 
@@ -71,6 +84,8 @@ QUERIES = {
     "p2_turns": p2_turns,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_found": p6_found,
     "p6_neighbors": p6_neighbors,
     "p7_found": p7_found,
