@@ -51,8 +51,7 @@ def p6_found(spark, sf_dir):
 
 
 def p7_found(spark, sf_dir):
-    people = names.linked_pairs(table(spark, sf_dir, "people"), "people")
-    return people.unionAll(names.linked_pairs(table(spark, sf_dir, "producers"), "producers"))
+    return names.linked_pairs(table(spark, sf_dir, "people"), table(spark, sf_dir, "producers"))
 
 
 def p8_ids(spark, sf_dir):
