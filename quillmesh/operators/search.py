@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,26 +64,31 @@ def bm25(texts: DataFrame, id_column: str, columns: Sequence[str], query: str, n
     """
     phrases = parse_query(query)
     joined = F.concat_ws("\n", *[F.col(c) for c in columns])
-    # one pass: only the counts of the query's words leave the text
-    rows = texts.select(F.col(id_column).alias("id"), terms(joined).alias("ts"))
+    # one pass: only the counts of the query's phrases leave the text
+    rows = texts.select(F.col(id_column).alias("id"), F.size(terms(joined)).alias("length"), *[terms(F.coalesce(c, F.lit(""))).alias(f"ts_{c}") for c in columns])
     if not phrases:
         return rows.select("id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    words = list(dict.fromkeys(w for p in phrases for w in p))
-    equals = lambda w: lambda t: t == w
-    counts = [F.size(F.filter("ts", equals(w))).alias(f"tf{k}") for k, w in enumerate(words)]
-    line = F.concat(F.lit(" "), F.array_join("ts", " "), F.lit(" "))
-    there = F.lit(True)
-    for p in phrases:
-        there = there & line.contains(" " + " ".join(p) + " ")
-    counted = rows.select("id", F.size("ts").alias("length"), there.alias("there"), *counts)
-    stats = counted.agg(F.count("*").alias("N"), F.avg("length").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(words))]).first()
+    phrases = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
+
+    def hits(column: str, phrase: list[str]) -> Column:
+        ts = F.col(column)
+        if len(phrase) == 1:
+            return F.size(F.filter(ts, lambda t: t == phrase[0]))
+        places = F.sequence(F.lit(1), F.greatest(F.size(ts) - len(phrase) + 1, F.lit(1)))
+        whole = F.array(*[F.lit(w) for w in phrase])
+        return F.size(F.filter(places, lambda k: F.slice(ts, k, F.lit(len(phrase))) == whole))
+
+    counts = [reduce(Column.__add__, [hits(f"ts_{c}", p) for c in columns]).alias(f"tf{k}") for k, p in enumerate(phrases)]
+    counted = rows.select("id", "length", *counts)
+    there = reduce(Column.__and__, [F.col(f"tf{k}") > 0 for k in range(len(phrases))])
+    stats = counted.agg(F.count("*").alias("N"), F.avg("length").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(phrases))]).first()
     score = F.lit(0.0)
-    for k in range(len(words)):
+    for k in range(len(phrases)):
         df = stats[f"df{k}"]
         idf = max(1e-6, math.log((stats["N"] - df + 0.5) / (df + 0.5)))
         tf = F.col(f"tf{k}")
         score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(stats["avg"] or 1.0))))
-    top = counted.where("there").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(n)
+    top = counted.where(there).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
