@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MIN_CHARS = 200
+MIN_WORDS = 12
 MIN_REPEAT = 4
 LEAST_FUNCTION_WORDS = 0.12
 LEAST_HIRAGANA = 0.25
@@ -40,6 +41,7 @@ FUNCTION_WORDS = frozenset(
 
 _SEGMENT = re.compile(r"[^\n]+?(?:[.!?。！？…](?=\s)|[。！？]|(?=\n)|$)")
 _LINK = re.compile(r"https?://\S+|www\.\S+")
+_WORD = re.compile(r"\w+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _HIRAGANA, _CJK = re.compile(r"[ぁ-ゟ]"), re.compile(r"[぀-ヿ一-鿿]")
 _FRONT_MATTER = re.compile(r"\A---\n.*?\n---\n", re.DOTALL)
@@ -102,7 +104,8 @@ def page_measures(text: str) -> tuple[int, int, int]:
     n = sum(map(len, bare))
     if total < MIN_CHARS or n <= MOST_CLAUSELESS * total:
         return total, n, 0
-    return total, n, repeated_cover("\n".join(bare))
+    part = "\n".join(bare)
+    return total, n, repeated_cover(part) if len(_WORD.findall(part)) >= MIN_WORDS else 0
 
 
 def is_stuffed(total: int, bare: int, covered: int) -> bool:
