@@ -96,5 +96,9 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "p4_found": "SELECT id AS chunk_id FROM chunks WHERE greatest(1, length(content) // 4) > 500",
+    "p9_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM eval_items),
+      dg AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 8), lambda k: array_to_string(ws[k:k + 9], ' '))) AS gram FROM d WHERE len(ws) >= 10),
+      ig AS (SELECT item_id, unnest(list_transform(range(1, len(ws) - 8), lambda k: array_to_string(ws[k:k + 9], ' '))) AS gram FROM i WHERE len(ws) >= 10)
+      SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (gram)""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
