@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 # Kind of an attachment by extension.
 ATTACHMENT_KINDS = {
-    "image": "jpg jpeg png gif webp heic bmp tiff", "audio": "mp3 m4a wav ogg aac flac opus", "video": "mp4 mov avi mkv webm",
-    "document": "pdf doc docx txt md csv xls xlsx ppt pptx",
+    "image": "jpg jpeg png gif webp heic heif bmp tiff tif svg", "audio": "mp3 m4a aac ogg opus wav flac oga", "video": "mp4 mov webm avi mkv m4v 3gp",
 }
 # Canonical extensions of indexable files.
 EXTENSIONS = {"md": "md", "markdown": "md", "txt": "txt", "html": "html", "htm": "html", "pdf": "pdf"}
@@ -62,10 +61,22 @@ def fence_stripped(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"(?s)\A```\w*\s*|\s*```\z", "")
 
 
-def safe_name(text: Column, default: str = "unnamed") -> Column:
-    """File-system safe name: forbidden characters to spaces, collapsed, without blanks and dots at the ends. [SCA12, SCA17]"""
-    clean = F.regexp_replace(F.regexp_replace(text, r'[/\\:*?"<>|]', " "), r"\s+", " ")
-    return F.coalesce(F.nullif(F.regexp_replace(clean, r"^[ ._]+|[ ._]+$", ""), F.lit("")), F.lit(default))
+def safe_name(text: Column) -> Column:
+    """File-system safe name: forbidden characters become underscores, blanks, dots and underscores at the ends go. [SCA12, SCA17]"""
+    clean = F.regexp_replace(text, r'[/\x00:<>"\\|?*]', "_")
+    return F.coalesce(F.nullif(F.regexp_replace(clean, r"^[ ._]+|[ ._]+$", ""), F.lit("")), F.lit("untitled"))
+
+
+def producer_note_path(name: Column) -> Column:
+    """[SCA13]"""
+    return F.concat(F.lit("Cellar/Producer/"), safe_name(name), F.lit(".md"))
+
+
+def item_note_path(kind: Column, producer: Column, name: Column) -> Column:
+    """Folder by kind with a capital, then producer, then item. [SCA13]"""
+    safe = safe_name(kind)
+    folder = F.concat(F.upper(F.substring(safe, 1, 1)), F.lower(F.substring(safe, 2, 1_000)))
+    return F.concat(F.lit("Cellar/"), folder, F.lit("/"), safe_name(producer), F.lit("/"), safe_name(name), F.lit(".md"))
 
 
 def person_note_path(name: Column) -> Column:
@@ -81,7 +92,7 @@ def slug(text: Column) -> Column:
 
 
 def attachment_kind(path: Column) -> Column:
-    """image, audio, video, document or file, by extension. [SCA16]"""
+    """image, audio, video or file, by extension. [SCA16]"""
     raw, out = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)), F.lit("file")
     for kind, names in ATTACHMENT_KINDS.items():
         out = F.when(raw.isin(*names.split()), F.lit(kind)).otherwise(out)

@@ -100,14 +100,25 @@ _ENTRY = r"(?m)^## (\d{1,2}:\d{2} [A-Z]{2,4})[ \t]*\n"
 
 def journal_entries(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, pos, time, minute, text, photos): entries under ``## HH:MM ZONE`` headings; other headings belong to the entry
-    before them. Text before the first entry is dropped. [TGF06, AGG12]"""
+    before them, and text before the first entry is dropped. ``photos`` has (alt, filename) of images in photos/; images,
+    details blocks and italics leave the text. [TGF06, AGG12, SCA50]"""
     marked = F.regexp_replace(F.col(text_column), _ENTRY, "\u0001$1\u0002")
     parts = F.slice(F.split(marked, "\u0001"), 2, 1_000_000)
     rows = texts.where(F.col(text_column).rlike(_ENTRY)).select(F.col(id_column).alias("id"), F.posexplode(parts).alias("pos", "part"))
-    body = F.trim(F.regexp_replace(F.substring_index("part", "\u0002", -1), r"^\s+|\s+$", ""))
-    out = rows.select("id", "pos", F.substring_index("part", "\u0002", 1).alias("time"), body.alias("text"))
-    photos = F.regexp_extract_all("text", F.lit(r"!\[([^\]]*)\]\(([^)]+)\)"), 2)
-    return out.select("id", "pos", "time", minute_of_day(F.col("time")).alias("minute"), "text", photos.alias("photos"))
+    out = rows.select("id", "pos", F.substring_index("part", "\u0002", 1).alias("time"), F.substring_index("part", "\u0002", -1).alias("body"))
+    image = r"!\[([^\]]*)\]\(photos/([^)]+)\)"
+    found = F.arrays_zip(F.regexp_extract_all("body", F.lit(image), 1).alias("alt"), F.regexp_extract_all("body", F.lit(image), 2).alias("filename"))
+    text = F.regexp_replace("body", r"!\[[^\]]*\]\([^)]+\)\n?", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?s)<details>.*?</details>", ""), r"\*([^*]+)\*", "$1")
+    return out.select("id", "pos", "time", minute_of_day(F.col("time")).alias("minute"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"), found.alias("photos"))
+
+
+def day_photos(entries: DataFrame) -> DataFrame:
+    """(id, time, alt, filename): the middle photo of each text, captioned photos preferred. [WIN03]"""
+    photos = entries.select("id", "time", "pos", F.posexplode("photos").alias("n", "photo"))
+    photos = photos.select("id", "time", "photo.alt", "photo.filename", (F.col("pos") * 10_000 + F.col("n")).alias("place"))
+    captioned = (F.col("alt") != "") & ~F.col("alt").rlike(r"\.(jpg|png|jpeg)$")
+    return middle_of_day(photos, "id", "place", captioned).drop("place")
 
 
 def insertion_place(entries: Column, minute: Column) -> Column:

@@ -7,7 +7,7 @@ from quillmesh.functions import frontmatter as fm
 from quillmesh.functions import text as tx
 from quillmesh.operators import chat, daily, indexing, inventory
 
-NOTE = "---\ndate: 2024-05-01\ntags: [a, 'b c']\npeople: [Ann (3), Bob]\nsize: 1\nsize: 2\n---\n\n## 09:05 CET\nFirst\n![pic](a.jpg)\n\n## Not a time\nmore\n## 16:13 CET\nSecond\n"
+NOTE = "---\ndate: 2024-05-01\ntags: [a, 'b c']\npeople: [Ann (3), Bob]\nsize: 1\nsize: 2\n---\n\n## 09:05 CET\nFirst\n![pic](photos/a.jpg)\n\n## Not a time\nmore\n## 16:13 CET\nSecond\n"
 
 
 def value(spark, column, **cells):
@@ -39,7 +39,8 @@ def test_scalars(spark):
     assert value(spark, tx.first_heading(c, F.lit("x")), t="a\n## no\n# Yes it is\n") == "Yes it is"
     assert value(spark, tx.document_date(c, F.lit("2020-02-30"), F.lit("2020-02-03T10")), t="a/note.md") == "2020-02-03"
     assert value(spark, tx.document_date(c), t="a/2024-01-02.md") == "2024-01-02"
-    assert value(spark, tx.safe_name(c), t=" a/b:c.. ") == "a b c" and value(spark, tx.safe_name(c), t="///") == "unnamed"
+    assert value(spark, tx.safe_name(c), t=" a/b:c.. ") == "a_b_c" and value(spark, tx.safe_name(c), t="///") == "untitled"
+    assert value(spark, tx.item_note_path(c, F.lit("A/B"), F.lit("x")), t="red WINE") == "Cellar/Red wine/A_B/x.md"
     assert value(spark, tx.person_note_path(c), t="Ann B Cole") == "People/Cole, Ann B.md"
     assert value(spark, tx.slug(c), t="Ab -- c!") == "ab-c" and value(spark, tx.slug(c), t="!!") is None
     assert value(spark, tx.hour_label(c), t="1500") == "3pm" and value(spark, tx.hour_label(c), t="0") == "12am"
@@ -79,8 +80,9 @@ def test_completion(spark):
 def test_journal_and_chat(spark):
     notes = spark.createDataFrame([(1, NOTE), (2, None), (3, "")], "id long, t string")
     entries = daily.journal_entries(notes, "id", "t").orderBy("pos").collect()
-    assert [(e.time, e.minute, e.photos) for e in entries] == [("09:05 CET", 545, ["a.jpg"]), ("16:13 CET", 973, [])]
-    assert "Not a time" in entries[0].text
+    assert [(e.time, e.minute, e.photos) for e in entries] == [("09:05 CET", 545, [("pic", "a.jpg")]), ("16:13 CET", 973, [])]
+    assert "Not a time" in entries[0].text and "pic" not in entries[0].text
+    assert [tuple(r) for r in daily.day_photos(daily.journal_entries(notes, "id", "t")).collect()] == [(1, "09:05 CET", "pic", "a.jpg")]
     day = "lost\n## 10:00 CET\n**Ann:** hi ![[p.jpg]]\nmore\n\n**Bob:** yes\n## 11:00 CET\n**Ann:** bye\n"
     found = chat.parse_day_files(spark.createDataFrame([("d", day)], "k string, t string"), "k", "t").orderBy("pos").collect()
     assert [(m.time, m.sender, m.text, m.photos) for m in found] == [("10:00 CET", "Ann", "hi\nmore", ["p.jpg"]), ("10:00 CET", "Bob", "yes", []), ("11:00 CET", "Ann", "bye", [])]
