@@ -20,7 +20,7 @@ MIN_REPEAT = 4
 LEAST_FUNCTION_WORDS = 0.12
 LEAST_HIRAGANA = 0.25
 MOST_CLAUSELESS = 0.5
-LEAST_COVERED = 0.3
+LEAST_COVERED = 0.2
 
 # fixed values: function words by language
 FUNCTION_WORDS = frozenset(
