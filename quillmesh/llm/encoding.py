@@ -42,13 +42,6 @@ class _Splitter:
         return self.pattern.findall(text)
 
 
-def _positions(words: list[str]) -> dict[str, list[int]]:
-    out: dict[str, list[int]] = {}
-    for k, w in enumerate(words):
-        out.setdefault(w, []).append(k)
-    return out
-
-
 def word_dictionary(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(word, n_docs, ids): every distinct pre-token of ``text``, with the ids it encodes to."""
 
@@ -82,33 +75,35 @@ def encode_corpus(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each document its ids by position, with -slot in place of a rare word, and a row for each rare word
         splitter, known = _Splitter(path), shared.value
         for batch in batches:
-            docs, words, at, ids = [], [], [], []
+            docs, words, slots, ids = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spots, found = [], []
-                for w, where in _positions(splitter.words(text or "")).items():
+                out: list[int] = []
+                rare: dict[str, int] = {}
+                for w in splitter.words(text or ""):
                     if (hit := known.get(w)) is None:
-                        docs.append(doc), words.append(w), at.append(where), ids.append(None)
+                        out.append(-rare.setdefault(w, len(rare) + 1))
                     else:
-                        for k in where:
-                            spots.append(k), found.append(hit)
-                docs.append(doc), words.append(None), at.append(spots), ids.append(found)
+                        out += hit
+                docs.append(doc), words.append(None), slots.append(None), ids.append(out)
+                for w, slot in rare.items():
+                    docs.append(doc), words.append(w), slots.append(slot), ids.append(None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(words, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.list_(pa.int32())))],
-                names=["doc_id", "word", "at", "found"],
+                [pa.array(docs, pa.int64()), pa.array(words, pa.string()), pa.array(slots, pa.int32()), pa.array(ids, pa.list_(pa.int32()))],
+                names=["doc_id", "word", "slot", "line"],
             )
 
-    placed = documents.select("doc_id", "text").mapInArrow(place, "doc_id long, word string, at array<int>, found array<array<int>>")
+    placed = documents.select("doc_id", "text").mapInArrow(place, "doc_id long, word string, slot int, line array<int>")
     # rows without a word need no partner; a key of their own spreads them (no pre-token is NUL followed by digits)
     placed = placed.withColumn("_word", F.coalesce("word", F.concat(F.lit("\0"), F.col("doc_id").cast("string"))))
     rare = dictionary.where(F.col("n_docs") < least).select(F.col("word").alias("_word"), "ids")
     joined = placed.join(rare, "_word", "left")
-    spots = F.when(F.col("word").isNull(), F.arrays_zip(F.col("at").alias("at"), F.col("found").alias("ids"))).otherwise(
-        F.transform("at", lambda k: F.struct(k.alias("at"), F.col("ids").alias("ids")))
-    )
-    gathered = joined.select("doc_id", spots.alias("spots")).groupBy("doc_id").agg(F.flatten(F.collect_list("spots")).alias("spots"))
-    return gathered.select("doc_id", F.flatten(F.transform(F.array_sort("spots"), lambda s: s["ids"])).alias("ids"))
+    slot = F.when(F.col("word").isNotNull(), F.struct("slot", "ids"))
+    gathered = joined.groupBy("doc_id").agg(F.max("line").alias("line"), F.array_sort(F.collect_list(slot)).alias("slots"))
+    filled = F.flatten(F.transform("line", lambda x: F.when(x < 0, F.get(F.col("slots"), -x - 1)["ids"]).otherwise(F.array(x))))
+    return gathered.select("doc_id", F.when(F.size("slots") == 0, F.col("line")).otherwise(filled).alias("ids"))
 
 
 def token_bytes(spark, path: str = TOKENIZER) -> DataFrame:
