@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter, text
-from ..operators import chat, daily, indexing, inventory, kinship, relations, search
+from ..operators import chat, daily, indexing, inventory, kinship, people, relations, search
 from ..operators.hierarchy import parent_edges
 from ..session import table
 
@@ -588,3 +588,43 @@ def user_sessions(spark, d):
 
     return sessions(_T(spark, d, "events"), "user_id", "ts").groupBy("user_id").agg(F.count("*").alias("n"))
 
+
+
+# --- people --------------------------------------------------------------------------------------------------------
+
+
+@query("people_found", "SELECT id, name, gender, birthdate, location, profession, phone, aliases FROM people WHERE lower(name) LIKE '%greta%'")
+def people_found(spark, d):
+    return people.find(_T(spark, d, "people"), "Greta")
+
+
+@query(
+    "relatives_ordered",
+    "SELECT r.id, row_number() OVER (PARTITION BY person_id ORDER BY relative_is, q.name, r.id) AS place FROM relationships r JOIN people p ON p.id = r.person_id JOIN people q ON q.id = r.relative_id",
+)
+def relatives_ordered(spark, d):
+    named = relations.with_names(_T(spark, d, "relationships"), _T(spark, d, "people"))
+    return people.relatives_in_order(named).select("id", F.col("place").cast("long").alias("place"))
+
+
+@query("edges_of_family", "SELECT id FROM relationships WHERE coalesce(inferred, false) OR relative_is = 'parent'")
+def edges_of_family(spark, d):
+    return people.of_sort(_T(spark, d, "relationships"), "family").select("id")
+
+
+@query("iso_days", "SELECT id, coalesce(regexp_matches(date, '^\\d{4}-\\d{2}-\\d{2}$') AND try_cast(date AS DATE) IS NOT NULL, false) AS iso FROM messages")
+def iso_days(spark, d):
+    return _T(spark, d, "messages").select("id", people.is_iso_day(F.col("date")).alias("iso"))
+
+
+@query(
+    "links_inferred_first",
+    f"""WITH kin AS ({_KIN}), i AS (SELECT person_id, name AS relative_name, relation FROM kin JOIN people ON people.id = relative_id),
+      e AS (SELECT person_id, q.name AS relative_name, relative_is AS relation FROM relationships r JOIN people p ON p.id = r.person_id JOIN people q ON q.id = r.relative_id)
+      SELECT DISTINCT * FROM (SELECT * FROM i UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.person_id = e.person_id AND i.relative_name = e.relative_name))""",
+)
+def links_inferred_first(spark, d):
+    everyone = _T(spark, d, "people")
+    kin = kinship.kinship(_parents(spark, d), everyone).join(everyone.select(F.col("id").alias("relative_id"), F.col("name").alias("relative_name")), "relative_id")
+    told = relations.with_names(_T(spark, d, "relationships"), everyone).withColumn("relation", F.col("relative_is"))
+    return people.links_inferred_first(told, kin)

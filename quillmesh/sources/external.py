@@ -1,4 +1,4 @@
-"""Adapters for records of other services, on supplied JSON, and offline stand-ins for models. [FLT10-13, SRC23, SRC26-27, UDF01-05]"""
+"""Adapters for records of other services, on supplied JSON, and offline stand-ins for models. [FLT10-13, SRC23-29, SRC32, DML25, UDF01-06]"""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TASK_SCHEMA = "struct<id:string,content:string,description:string,project_id:string,labels:array<string>,priority:int,due:struct<date:string,string:string>,is_completed:boolean>"
@@ -73,3 +73,37 @@ def resolved_locations(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     exact = F.max(F.when(F.col("_q") == F.col("_a"), F.col("zone")))
     out = pairs.groupBy("query").agg(exact.alias("exact"), F.countDistinct("zone").alias("n"), F.min("zone").alias("any"))
     return out.select("query", F.coalesce("exact", F.when(F.col("n") == 1, F.col("any"))).alias("zone"), F.when(F.col("exact").isNotNull(), F.lit(1).cast("long")).otherwise(F.col("n")).alias("n"))
+
+
+def looked_up(rows: DataFrame, column: str, fetch: Callable[[list[str]], list[str | None]], out: str, batch: int = 50) -> DataFrame:
+    """Rows with the text that ``fetch`` gives for each value of a column, in batches inside the partitions: the adapter for
+    geocoding, zones, mail threads, photo metadata, hosted extraction and models. A failed call gives nulls. [SRC25, SRC28-29, UDF02-06]"""
+
+    @F.pandas_udf("string")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in series:
+            found: list[str | None] = []
+            for k in range(0, len(values), batch):
+                part = values.iloc[k : k + batch].tolist()
+                try:
+                    found += fetch(part)
+                except Exception:  # noqa: BLE001
+                    found += [None] * len(part)
+            yield pd.Series(found, dtype=object)
+
+    return rows.withColumn(out, run(F.col(column)))
+
+
+def first_known(*columns: str) -> Column:
+    """The first source that has a value, for chains of fallbacks. [SRC29, SCA53]"""
+    return F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns])
+
+
+def changed_tasks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, action, body): what a task service must be told: create, update or complete, with the JSON to send. [DML25]"""
+    columns = [c for c in new.columns if c != "id"]
+    body = lambda p: F.to_json(F.struct(*[F.col(f"{p}.{c}").alias(c) for c in columns]))
+    both = old.alias("o").join(new.alias("n"), F.col("o.id") == F.col("n.id"), "full_outer")
+    action = F.when(F.col("o.id").isNull(), F.lit("create")).when(F.col("n.id").isNull(), F.lit("complete")).when(body("o") != body("n"), F.lit("update"))
+    out = both.select(F.coalesce("o.id", "n.id").alias("id"), action.alias("action"), F.when(F.col("n.id").isNotNull(), body("n")).alias("body"))
+    return out.where("action is not null")

@@ -146,6 +146,11 @@ class Snapshots:
         except (OSError, ValueError, KeyError):
             return 0
 
+    def open(self, table: str, schema: str) -> DataFrame:
+        """The table, or an empty one of the schema where the store doesn't have it yet. [SRC01-03]"""
+        path = os.path.join(self.root, f"v{self.version()}", table)
+        return self.spark.read.schema(schema).parquet(path) if os.path.exists(path) else self.spark.createDataFrame([], schema)
+
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.root, f"v{self.version()}", table))
 
@@ -165,3 +170,26 @@ def assert_unique(df: DataFrame, *keys: str) -> None:
     """Raise where a key repeats; run before a commit."""
     if not df.groupBy(*keys).count().where("count > 1").isEmpty():
         raise ValueError(f"{keys} is not unique")
+
+
+def catalogue(spark: SparkSession, root: str) -> DataFrame:
+    """(path, record, body): front matter of notes as a map, nested values as JSON text; a block that isn't YAML gives an empty
+    map. Needs PyYAML. [SRC30]"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import yaml
+
+        for batch in batches:
+            records = []
+            for text in batch.column(1).to_pylist():
+                m = re.match(r"(?s)\A---\n(.*?\n)?---(?:\n|\Z)", text or "")
+                try:
+                    found = yaml.safe_load(m[1] or "") if m else {}
+                except yaml.YAMLError:
+                    found = {}
+                found = found if isinstance(found, dict) else {}
+                records.append([(str(k), v if v is None or isinstance(v, str) else json.dumps(v, default=str, ensure_ascii=False)) for k, v in found.items()])
+            bodies = [re.sub(r"(?s)\A---\n(.*?\n)?---(?:\n|\Z)", "", t or "", count=1) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(records, pa.map_(pa.string(), pa.string())), pa.array(bodies, pa.string())], names=["path", "record", "body"])
+
+    return notes(spark, root).where("path like '%.md'").select("path", "text").mapInArrow(run, "path string, record map<string,string>, body string")
