@@ -3,7 +3,7 @@
 Vectors become 64-bit codes by a rotation learned on a bounded sample (principal axes, then iterative quantisation). A code
 is split into four 16-bit substrings, each with its own index. By the pigeonhole principle codes that differ in few bits
 agree nearly in some substring, so probing every index key within ``radius`` flips of a query's substring retrieves every
-code within 4 * (radius + 1) - 1 bits. What is retrieved is ranked again by the float vectors, last of all in 64 bit. A
+code within 4 * (radius + 1) - 1 bits; the radius grows where that finds few. What is retrieved is ranked again by the float vectors, last of all in 64 bit. A
 second table with another rotation and a smaller radius raises the recall.
 
 Exact copies are one row of the index. The index is cut into shards of bounded size and the queries into blocks; every pair
@@ -29,6 +29,7 @@ SUBSTRINGS, SUBSTRING_BITS = 4, 16
 SHARD_ROWS = 131_072
 BLOCK_ROWS = 262_144
 SHORTLIST = 16
+LEAST_CANDIDATES = 512  # of a substring; where fewer are near, the radius grows until there are so many
 
 
 def valid_vectors(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -75,6 +76,7 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, index: np.ndarray,
     for rotation, radius in zip(rotations, RADII):
         flips = _flips(radius)
         query_keys, index_keys = _keys(q64, mean, rotation), _keys(x64, mean, rotation)
+        short_keys = index_keys.astype(np.uint16)
         for s in range(SUBSTRINGS):
             order = np.argsort(index_keys[:, s], kind="stable").astype(np.int32)
             offsets = np.searchsorted(index_keys[order, s], np.arange((1 << SUBSTRING_BITS) + 1))
@@ -88,10 +90,14 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, index: np.ndarray,
                 low = offsets[buckets]
                 count = offsets[buckets + 1] - low
                 total = int(count.sum())
-                if not total:
-                    continue
-                ends = np.cumsum(count)
-                rows = order[np.arange(total) + np.repeat(low - (ends - count), count)]
+                if total >= LEAST_CANDIDATES:
+                    ends = np.cumsum(count)
+                    rows = order[np.arange(total) + np.repeat(low - (ends - count), count)]
+                else:
+                    apart = np.bitwise_count(short_keys[:, s] ^ np.uint16(sorted_keys[a]))
+                    within = np.cumsum(np.bincount(apart, minlength=SUBSTRING_BITS + 1))
+                    rows = np.flatnonzero(apart <= np.searchsorted(within, min(LEAST_CANDIDATES, len(apart)))).astype(np.int32)
+                    total = len(rows)
                 who = by_key[a:b]
                 near = q32[who] @ x32[rows].T
                 if total > SHORTLIST:
