@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ascii_lower
+from ..functions.columns import ascii_lower, numbered
 
 
 def find_by_name(df: DataFrame, query: str, *columns: str) -> DataFrame:
@@ -83,7 +83,7 @@ def upsert(table: DataFrame, new: DataFrame, name_column: str = "name") -> DataF
     key = ascii_lower(F.col(name_column))
     fresh = new.withColumn("_k", key).dropDuplicates(["_k"]).join(table.select(key.alias("_k")), "_k", "left_anti")
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = fresh.withColumn("_n", F.row_number().over(Window.orderBy("_k"))).join(top, F.lit(True)).withColumn("id", F.col("_top") + F.col("_n"))
+    fresh = numbered(fresh, "_n", "_k").join(top, F.lit(True)).withColumn("id", F.col("_top") + F.col("_n"))
     return table.unionByName(fresh.drop("_k", "_n", "_top"), allowMissingColumns=True)
 
 

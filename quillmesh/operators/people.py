@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import numbered
 from .inventory import find_by_name
 from .kinship import ancestors
 from .relations import VALID_TYPES
@@ -27,7 +28,7 @@ def add(people: DataFrame, new: DataFrame) -> DataFrame:
     """People with the new rows whose exact name isn't there; ids follow the largest, in name order. [DML01]"""
     fresh = new.dropDuplicates(["name"]).join(people.select("name"), "name", "left_anti")
     top = people.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = fresh.withColumn("_n", F.row_number().over(Window.orderBy("name"))).join(top, F.lit(True)).withColumn("id", F.col("_top") + F.col("_n"))
+    fresh = numbered(fresh, "_n", "name").join(top, F.lit(True)).withColumn("id", F.col("_top") + F.col("_n"))
     return people.unionByName(fresh.drop("_n", "_top"), allowMissingColumns=True)
 
 

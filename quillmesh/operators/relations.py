@@ -5,9 +5,11 @@ An edge (person_id, relative_id, relative_is) reads "relative is person's <relat
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import numbered
+
 # Relation types that may be stored.
 VALID_TYPES = (
     "spouse", "parent", "friend", "ex-friend", "acquaintance", "coworker", "manager", "report", "neighbor", "boyfriend", "girlfriend",
@@ -198,8 +200,8 @@ def mermaid(edges: DataFrame, people: DataFrame) -> DataFrame:
         F.col("relative_id").cast("string"), F.lit('["'), tidy(F.col("relative_name")), F.lit('"]'),
     )
     head = edges.sparkSession.createDataFrame([(0, "graph LR")], "line_no long, line string")
-    order = Window.orderBy("person_id", "relative_id", "relative_is")
-    return head.unionAll(named.select(F.row_number().over(order).cast("long").alias("line_no"), line.alias("line")))
+    lines = numbered(named.withColumn("line", line), "line_no", "person_id", "relative_id", "relative_is")
+    return head.unionAll(lines.select("line_no", "line"))
 
 
 def merge_relatives(explicit: DataFrame, inferred: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
-from ..functions.columns import ascii_lower
+from ..functions.columns import ascii_lower, numbered
 from ..functions.text import attachment_kind, flag, minute_of_day, slug
 
 _HEADING = r"(?m)^## (\d{1,2}:\d{2}) [A-Z]{2,4}"
@@ -143,7 +143,7 @@ def reattribute(items: DataFrame, producers: DataFrame, parses: DataFrame) -> tu
     moves = items.select("id", "producer_id").join(parses.where("producer is not null"), "id").join(own, "producer_id").where(key("producer") != key("old_name"))
     top = producers.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     fresh = moves.groupBy(key("producer").alias("k")).agg(F.min("producer").alias("name")).join(producers.select(key("name").alias("k")), "k", "left_anti")
-    fresh = fresh.withColumn("n", F.row_number().over(Window.orderBy("k"))).join(top, F.lit(True)).select((F.col("top") + F.col("n")).alias("id"), "name")
+    fresh = numbered(fresh, "n", "k").join(top, F.lit(True)).select((F.col("top") + F.col("n")).alias("id"), "name")
     everyone = producers.unionByName(fresh, allowMissingColumns=True)
     target = everyone.select(F.col("id").alias("to"), key("name").alias("k"))
     moves = moves.withColumn("k", key("producer")).join(target, "k").select("id", "to", F.coalesce("item", "producer").alias("to_name"), "old_name", "day")

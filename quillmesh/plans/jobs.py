@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.columns import numbered
 from ..operators import daily, indexing
 from ..operators.search import regex_excerpts
 from ..sources.files import Snapshots
@@ -38,8 +39,8 @@ def index_run(store: Snapshots, scan: DataFrame, texts: DataFrame, embed: Callab
     kept_files, kept_chunks = indexing.apply_diff(files, diff, chunks if chunks is not None else files.select(F.col("id").alias("file_id")).limit(0))
     fresh = diff.where("status = 'new'").select("path", "content_hash")
     top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = fresh.join(top, F.lit(True)).select((F.col("_top") + F.row_number().over(Window.orderBy("path"))).alias("id"), "path", "content_hash")
-    all_files = kept_files.select("id", "path", "content_hash").unionAll(numbered)
+    with_ids = numbered(fresh, "_n", "path").join(top, F.lit(True)).select((F.col("_top") + F.col("_n")).alias("id"), "path", "content_hash")
+    all_files = kept_files.select("id", "path", "content_hash").unionAll(with_ids)
     changed = diff.where("status in ('new', 'updated')").select("path").join(all_files, "path").join(texts, "path")
     made = indexing.chunked(changed, "id", "text").withColumnRenamed("id", "file_id").withColumn("metadata", F.lit(None).cast("string"))
     made = embed(made)
