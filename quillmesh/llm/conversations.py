@@ -24,7 +24,7 @@ def speaker_roles(messages: DataFrame, speakers: DataFrame) -> DataFrame:
     """Add ``role`` by sender: trimmed, lower-cased, without a final part in round brackets; unknown senders have none."""
     label = F.lower(F.trim(F.regexp_replace(F.trim("sender"), r"\s*\([^()]*\)\s*$", "")))
     roles = speakers.select(F.col("label").alias("_label"), F.col("speaker_role").alias("role")).dropDuplicates(["_label"])
-    return messages.withColumn("_label", label).join(F.broadcast(roles), "_label", "left").drop("_label")
+    return messages.withColumn("_label", label).join(roles, "_label", "left").drop("_label")
 
 
 def _broken_json(text: Column) -> Column:

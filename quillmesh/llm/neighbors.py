@@ -13,7 +13,6 @@ of a block and a shard is one task. Nothing is broadcast but the rotations (64 x
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ SUBSTRINGS, SUBSTRING_BITS = 4, 16
 SHARD_ROWS = 131_072
 BLOCK_ROWS = 262_144
 SHORTLIST = 16
-LEAST_CANDIDATES = 512  # of a substring; where fewer are near, the radius grows until there are so many
+LEAST_CANDIDATES = (512, 64)  # of a substring, by table; where fewer are near, the radius grows until there are so many
 
 
 def valid_vectors(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -62,8 +61,11 @@ def _keys(unit: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.ndarra
     return bits @ (1 << np.arange(SUBSTRING_BITS))
 
 
-def _flips(radius: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(SUBSTRING_BITS), r)], dtype=np.int64)
+def _flips() -> tuple[np.ndarray, np.ndarray]:
+    """All flips of a substring's bits, by number of flipped bits, and how many there are up to each number."""
+    every = np.arange(1 << SUBSTRING_BITS, dtype=np.int64)
+    bits = np.bitwise_count(every)
+    return every[np.argsort(bits, kind="stable")], np.cumsum(np.bincount(bits))
 
 
 def search_shard(queries: np.ndarray, query_ids: np.ndarray, index: np.ndarray, index_ids: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +75,9 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, index: np.ndarray,
     q32, x32 = q64.astype(np.float32), x64.astype(np.float32)
     best = np.full((len(q32), SHORTLIST), -1, dtype=np.int32)
     score = np.full((len(q32), SHORTLIST), -2, dtype=np.float32)
-    for rotation, radius in zip(rotations, RADII):
-        flips = _flips(radius)
+    flips, up_to = _flips()
+    for rotation, first_radius, least in zip(rotations, RADII, LEAST_CANDIDATES):
         query_keys, index_keys = _keys(q64, mean, rotation), _keys(x64, mean, rotation)
-        short_keys = index_keys.astype(np.uint16)
         for s in range(SUBSTRINGS):
             order = np.argsort(index_keys[:, s], kind="stable").astype(np.int32)
             offsets = np.searchsorted(index_keys[order, s], np.arange((1 << SUBSTRING_BITS) + 1))
@@ -86,18 +87,19 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, index: np.ndarray,
             new = np.full((len(q32), SHORTLIST), -1, dtype=np.int32)
             new_score = np.full((len(q32), SHORTLIST), -2, dtype=np.float32)
             for a, b in zip(borders[:-1], borders[1:]):
-                buckets = sorted_keys[a] ^ flips
-                low = offsets[buckets]
-                count = offsets[buckets + 1] - low
-                total = int(count.sum())
-                if total >= LEAST_CANDIDATES:
-                    ends = np.cumsum(count)
-                    rows = order[np.arange(total) + np.repeat(low - (ends - count), count)]
-                else:
-                    apart = np.bitwise_count(short_keys[:, s] ^ np.uint16(sorted_keys[a]))
-                    within = np.cumsum(np.bincount(apart, minlength=SUBSTRING_BITS + 1))
-                    rows = np.flatnonzero(apart <= np.searchsorted(within, min(LEAST_CANDIDATES, len(apart)))).astype(np.int32)
-                    total = len(rows)
+                radius, total = first_radius, 0
+                while True:
+                    buckets = sorted_keys[a] ^ flips[: up_to[radius]]
+                    low = offsets[buckets]
+                    count = offsets[buckets + 1] - low
+                    total = int(count.sum())
+                    if total >= min(least, len(order)) or radius == SUBSTRING_BITS:
+                        break
+                    radius += 1
+                hit = count > 0
+                low, count = low[hit], count[hit]
+                ends = np.cumsum(count)
+                rows = order[np.arange(total) + np.repeat(low - (ends - count), count)]
                 who = by_key[a:b]
                 near = q32[who] @ x32[rows].T
                 if total > SHORTLIST:
