@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FENCED = r"(?s)\A---\n(.*?)(?:\n)?---(?:\n|\z)"
-
 
 def block(text: Column) -> Column:
     """Raw text between the fences at the very start, or null. [SCA28]"""

@@ -69,7 +69,7 @@ def last_days(today: Column, n: int) -> Column:
 def local_time(utc: Column, zone: Column) -> Column:
     """Struct (date, time, offset_minutes) of a UTC time (without zone) in an IANA zone. [SCA22-23]"""
     local = F.convert_timezone(F.lit("UTC"), zone, utc)
-    seconds = F.expr("0") + F.timestamp_diff("SECOND", utc, local)
+    seconds = F.timestamp_diff("SECOND", utc, local)
     text = local.cast("string")
     return F.struct(F.substring(text, 1, 10).alias("date"), F.substring(text, 12, 5).alias("time"), F.floor(seconds / 60).cast("int").alias("offset_minutes"))
 
