@@ -6,7 +6,8 @@ corpus: an alias that goes with one given name in most rows stands for it.
 
 Different names are joined by a prefix-filtered set-similarity join: q-grams of one token together with the other token
 are the elements, rarest first, and only a prefix of them is used as join keys. Candidates are verified by a soft weighted
-token similarity in which rare tokens count more; two established tokens that differ are never variants of each other.
+token similarity in which rare tokens count more; two established tokens that differ are never variants of each other. How
+often a misspelt given name is met grows with the table, so it is held against the commoner one it resembles, not a number.
 Linked names form components by label propagation. Rows of a component are divided into entities by equal keys only (birth
 date, then place, then nothing known), so no group is ever compared pair by pair; initials join the one entity that fits.
 
@@ -29,7 +30,9 @@ GRAM = 5
 HEAD_GRAM = 2
 LEAST_SHARED = 0.4  # of the grams of a core
 LEAST_SIMILARITY = 0.75
-ESTABLISHED = 5  # a head met with so many cores is a name of its own
+ESTABLISHED = 5  # a head met with so many cores is a name of its own, unless it is a misspelling by the next two
+MISSPELT_SHARE = 0.1  # a misspelt head is met with at most this share of the cores of the commoner head,
+MISSPELT_SHARED = 0.5  # and at least this share of its cores is met with that head too, beyond chance
 ESTABLISHED_CORE = 3  # a core met with so many heads likewise
 
 # fixed values: words around a person's name
@@ -162,7 +165,8 @@ def _prefix_join(nodes: DataFrame, key: Column, share: float) -> DataFrame:
 
 def link_names(names: DataFrame) -> DataFrame:
     """(a, b): ids of different full names (node, kind, head, core) that are spellings of one name of one kind."""
-    n = F.lit(float(max(1, names.count())))
+    sizes = names.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("core").alias("cores")).collect()  # two kinds
+    n = F.lit(float(max(1, sum(r["n"] for r in sizes))))
     head_cores = names.groupBy("kind", "head").agg(F.count("*").alias("head_df"))
     core_heads = names.groupBy("kind", "core").agg(F.count("*").alias("core_df"))
     spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows multiply below; keep all cores busy
@@ -171,21 +175,36 @@ def link_names(names: DataFrame) -> DataFrame:
     near_core = _prefix_join(nodes, tagged(F.col("head"), _grams(F.col("core"), GRAM)), LEAST_SHARED)
     near_head = _prefix_join(nodes.where("length(head) > 1"), tagged(F.col("core"), _grams(F.col("head"), HEAD_GRAM)), 0.0)
     pairs = cut_lineage(near_core.unionAll(near_head).distinct())
-    side = lambda p: nodes.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("head", "core", "head_df", "core_df")])
+    side = lambda p: nodes.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("kind", "head", "core", "head_df", "core_df")])
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     c = F.col
-    heads_ok = (c("a_head") == c("b_head")) | (
+    heads_near = (c("a_head") == c("b_head")) | (
         (_same_but_a_slip(c("a_head"), c("b_head")) | c("b_head").startswith(c("a_head")) | c("a_head").startswith(c("b_head")))
         & (F.least(F.length("a_head"), F.length("b_head")) >= 2)
-        & (F.least("a_head_df", "b_head_df") < ESTABLISHED)
     )
     cores_ok = (c("a_core") == c("b_core")) | (
         _same_but_a_slip(c("a_core"), c("b_core")) & (F.least("a_core_df", "b_core_df") < ESTABLISHED_CORE) & (F.least(F.length("a_core"), F.length("b_core")) >= 5)
     )
     alike = lambda t: 1 - F.levenshtein(c(f"a_{t}"), c(f"b_{t}")) / F.greatest(F.length(f"a_{t}"), F.length(f"b_{t}"), F.lit(1))
     weight = lambda t: F.log1p(n / F.least(f"a_{t}_df", f"b_{t}_df"))
-    similarity = (weight("head") * F.when(heads_ok, F.greatest(alike("head"), F.lit(0.7))).otherwise(0.0) + weight("core") * alike("core")) / (weight("head") + weight("core"))
-    return pairs.where(heads_ok & cores_ok & (similarity >= LEAST_SIMILARITY)).select("a", "b")
+    similarity = (weight("head") * F.greatest(alike("head"), F.lit(0.7)) + weight("core") * alike("core")) / (weight("head") + weight("core"))
+    pairs = cut_lineage(pairs.where(heads_near & cores_ok).withColumn("similarity", similarity))
+
+    # heads met often that are misspellings nevertheless; every core two heads share is one pair here
+    lower = c("a_head_df") < c("b_head_df")
+    either = lambda x: F.when(lower, c(f"a_{x}")).otherwise(c(f"b_{x}"))
+    other = lambda x: F.when(lower, c(f"b_{x}")).otherwise(c(f"a_{x}"))
+    apart = pairs.where((c("a_head") != c("b_head")) & (c("a_core") == c("b_core")))
+    apart = apart.select(c("a_kind").alias("kind"), either("head").alias("head"), either("head_df").alias("df"), other("head").alias("common"), other("head_df").alias("common_df"))
+    apart = apart.where((c("df") >= ESTABLISHED) & (c("df") <= MISSPELT_SHARE * c("common_df")))
+    shared = apart.groupBy("kind", "head", "common").agg(F.count("*").alias("shared"), F.first("df").alias("df"), F.first("common_df").alias("common_df"))
+    all_cores = F.coalesce(*[F.when(c("kind") == r["kind"], F.lit(float(r["cores"]))) for r in sizes], F.lit(1.0))
+    chance = c("common_df") / all_cores
+    misspelt = shared.where(c("shared") / c("df") >= chance + MISSPELT_SHARED * (1 - chance)).select(c("kind").alias("a_kind"), "head").distinct()
+    own = lambda p: misspelt.select("a_kind", c("head").alias(f"{p}_head"), F.lit(True).alias(f"{p}_misspelt"))
+    pairs = pairs.join(own("a"), ["a_kind", "a_head"], "left").join(own("b"), ["a_kind", "b_head"], "left")
+    heads_ok = (c("a_head") == c("b_head")) | (F.least("a_head_df", "b_head_df") < ESTABLISHED) | c("a_misspelt").isNotNull() | c("b_misspelt").isNotNull()
+    return pairs.where(heads_ok & (c("similarity") >= LEAST_SIMILARITY)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:

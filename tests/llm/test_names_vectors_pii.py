@@ -60,6 +60,28 @@ def test_house_variants(spark):
     assert found == pairs([[1, 2, 3, 4], [5, 6, 7]])
 
 
+@pytest.mark.parametrize("growth", [1, 10, 100])
+def test_misspelt_given_names_link_at_every_size(spark, growth):
+    word = lambda r, k: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(k))
+    rng = random.Random(growth)
+    cores = [word(rng, 7) for _ in range(90 * growth)]
+    met = {
+        "cosmo": range(60 * growth), "cosm": range(growth), "cosmos": range(growth, 2 * growth),  # clipped, a letter more
+        "celia": range(60 * growth), "delia": range(45 * growth, 90 * growth),  # two names that share a third of their cores
+        "ottokar": range(60 * growth), "otto": range(55 * growth, 65 * growth),  # a rarer name, half of its cores shared
+        "jana": range(60 * growth), "jan": [*range(growth), *range(61 * growth, 65 * growth)],  # a rare name, a fifth of its cores shared
+    }
+    rows = [("p", head, cores[k]) for head, ks in met.items() for k in ks]
+    rows = [(node, *r) for node, r in enumerate(rows)]
+    at = {(head, core): node for node, _, head, core in rows}
+    names_df = spark.createDataFrame(rows, "node long, kind string, head string, core string")
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in names.link_names(names_df).collect()}
+    want = {tuple(sorted((at["cosmo", cores[k]], at[head, cores[k]]))) for head in ("cosm", "cosmos") for k in met[head]}
+    assert want <= found
+    if growth > 1:  # five rows of a name are too few to tell it from a misspelling
+        assert found == want
+
+
 def test_names_of_nothing(spark):
     assert linked(spark, []) == (set(), set())
 
