@@ -4,7 +4,8 @@ Vectors become 64-bit codes by a rotation learned on a bounded sample (principal
 is split into four 16-bit substrings, each with its own index. By the pigeonhole principle codes that differ in few bits
 agree nearly in some substring, so probing every index key within ``radius`` flips of a query's substring retrieves every
 code within 4 * (radius + 1) - 1 bits; the radius grows where that finds few. What is retrieved is ranked again by the float vectors, last of all in 64 bit. A
-second table with another rotation and a smaller radius raises the recall.
+second table with another rotation and a smaller radius raises the recall. Where more rows than the shortlist holds score
+alike within the rounding of 32 bit (scaled copies), the shortlist itself is made in 64 bit, by cosine and smaller id.
 
 Exact copies are one row of the index. The index is cut into shards of bounded size and the queries into blocks; every pair
 of a block and a shard is one task. Nothing is broadcast but the rotations (64 x 64 each).
@@ -28,6 +29,8 @@ SUBSTRINGS, SUBSTRING_BITS = 4, 16
 SHARD_ROWS = 131_072
 BLOCK_ROWS = 262_144
 SHORTLIST = 16
+ROUNDING = 1e-5  # two 32-bit cosines of 64 dimensions that lie further apart are in the right order
+PRODUCT_CELLS = 4_194_304  # of a block of cosines
 LEAST_CANDIDATES = (512, 64)  # of a substring, by table; where fewer are near, the radius grows until there are so many
 
 
@@ -68,8 +71,25 @@ def _flips() -> tuple[np.ndarray, np.ndarray]:
     return every[np.argsort(bits, kind="stable")], np.cumsum(np.bincount(bits))
 
 
+def _crowded(score: np.ndarray, k: int) -> np.ndarray:
+    """Rows of a full shortlist whose last score can't be told from that of the ``k`` best other rows."""
+    kth = np.partition(score, SHORTLIST - k - 1, axis=1)[:, SHORTLIST - k - 1]
+    last = score.min(axis=1)
+    return np.flatnonzero((last > -2) & (last >= kth - np.float32(ROUNDING)))
+
+
+def _best_exact(exact: np.ndarray) -> np.ndarray:
+    """Columns of the SHORTLIST largest values of each row, of equal ones the first."""
+    cut = -np.partition(-exact, SHORTLIST - 1, axis=1)[:, SHORTLIST - 1 : SHORTLIST]
+    above, level = exact > cut, exact == cut
+    chosen = above | (level & (np.cumsum(level, axis=1) <= SHORTLIST - above.sum(axis=1, keepdims=True)))
+    return np.nonzero(chosen)[1].reshape(-1, SHORTLIST)
+
+
 def search_shard(queries: np.ndarray, query_ids: np.ndarray, index: np.ndarray, index_ids: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, cosines) of the up to ``k`` best rows of one shard for each query, best first; id -1 where there are fewer."""
+    by_id = np.argsort(index_ids, kind="stable")  # so that of equal rows the first has the smallest id
+    index, index_ids = index[by_id], index_ids[by_id]
     norm = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     q64, x64 = norm(queries.astype(np.float64)), norm(index.astype(np.float64))
     q32, x32 = q64.astype(np.float32), x64.astype(np.float32)
@@ -86,10 +106,11 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, index: np.ndarray,
             borders = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1], True])
             new = np.full((len(q32), SHORTLIST), -1, dtype=np.int32)
             new_score = np.full((len(q32), SHORTLIST), -2, dtype=np.float32)
-            for a, b in zip(borders[:-1], borders[1:]):
-                radius, total = first_radius, 0
+
+            def probed(key: int) -> np.ndarray:
+                radius = first_radius
                 while True:
-                    buckets = sorted_keys[a] ^ flips[: up_to[radius]]
+                    buckets = key ^ flips[: up_to[radius]]
                     low = offsets[buckets]
                     count = offsets[buckets + 1] - low
                     total = int(count.sum())
@@ -99,21 +120,42 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, index: np.ndarray,
                 hit = count > 0
                 low, count = low[hit], count[hit]
                 ends = np.cumsum(count)
-                rows = order[np.arange(total) + np.repeat(low - (ends - count), count)]
-                who = by_key[a:b]
-                near = q32[who] @ x32[rows].T
-                if total > SHORTLIST:
-                    top = np.argpartition(near, total - SHORTLIST, axis=1)[:, total - SHORTLIST :]
+                return order[np.arange(total) + np.repeat(low - (ends - count), count)]
+
+            for a, b in zip(borders[:-1], borders[1:]):
+                rows = probed(sorted_keys[a])
+                total = len(rows)
+                step = max(1, PRODUCT_CELLS // max(1, total))
+                for start in range(a, b, step):
+                    who = by_key[start : min(b, start + step)]
+                    near = q32[who] @ x32[rows].T
+                    if total > SHORTLIST:
+                        top = np.argpartition(near, total - SHORTLIST, axis=1)[:, total - SHORTLIST :]
+                        new[who] = rows[top]
+                        new_score[who] = np.take_along_axis(near, top, 1)
+                    else:
+                        new[who, :total] = rows
+                        new_score[who, :total] = near
+            crowded = _crowded(new_score, k)
+            crowded = crowded[np.argsort(query_keys[crowded, s], kind="stable")]
+            for group in np.split(crowded, np.flatnonzero(np.diff(query_keys[crowded, s])) + 1) if len(crowded) else ():
+                rows = np.sort(probed(query_keys[group[0], s]))
+                step = max(1, PRODUCT_CELLS // len(rows))
+                for start in range(0, len(group), step):
+                    who = group[start : start + step]
+                    exact = q64[who] @ x64[rows].T
+                    top = _best_exact(np.round(exact, 9))
                     new[who] = rows[top]
-                    new_score[who] = np.take_along_axis(near, top, 1)
-                else:
-                    new[who, :total] = rows
-                    new_score[who, :total] = near
+                    new_score[who] = np.take_along_axis(exact, top, 1)
             both, both_score = np.hstack([best, new]), np.hstack([score, new_score])
             by_row = np.argsort(both, axis=1, kind="stable")
             both, both_score = np.take_along_axis(both, by_row, 1), np.take_along_axis(both_score, by_row, 1)
             both_score[:, 1:][both[:, 1:] == both[:, :-1]] = -2
             top = np.argpartition(both_score, SHORTLIST, axis=1)[:, SHORTLIST:]
+            crowded = _crowded(np.take_along_axis(both_score, top, 1), k)
+            if len(crowded):  # rows stand in the order of their ids
+                exact = np.stack([np.einsum("ij,ij->i", q64[crowded], x64[both[crowded, c]]) for c in range(2 * SHORTLIST)], axis=1)
+                top[crowded] = _best_exact(np.where(both_score[crowded] > -2, np.round(exact, 9), -3.0))
             best, score = np.take_along_axis(both, top, 1), np.take_along_axis(both_score, top, 1)
     # the shortlist in 64 bit, rounded; ties by smaller id
     ids = np.where(score > -2, index_ids[best], -1)

@@ -110,6 +110,25 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert neighbors.nearest(df.where("chunk_id = 7"), "chunk_id", "embedding").count() == 0
 
 
+def test_neighbours_of_many_scaled_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 64)).astype(np.float32)
+    ids = rng.permutation(100_000)[:900]
+    x[:300] = x[0] * np.linspace(0.3, 3.7, 300, dtype=np.float32)[:, None]  # no two bit-equal
+    x[300:340] = x[0] + 0.3 * x[300:340]  # rows near the copies have them as neighbours, too
+    x[340:400] = (x[0] + 0.3 * x[340]) * np.linspace(0.5, 2, 60, dtype=np.float32)[:, None]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "chunk_id long, embedding array<float>")
+    got = {}
+    for r in neighbors.nearest(df, "chunk_id", "embedding").collect():
+        got.setdefault(r.id, set()).add(r.neighbor_id)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cos = np.round(u @ u.T, 9)
+    np.fill_diagonal(cos, -2)
+    for i in range(400):
+        assert got[ids[i]] == set(ids[np.lexsort((ids, -cos[i]))[:5]].tolist())
+
+
 TEMPLATES = [
     ("Ask {n} about the barrels.", "person_name"), ("The letter came from {n}.", "person_name"), ("Dr. {n} signed the sheet.", "person_name"), ("talked to {n} about the boat", "person_name"),
     ("Call {p} after six.", "phone"), ("ring me on {p} when you land", "phone"), ("Write to {e} if the date slips.", "email"), ("The form asks for SSN {s}.", "id_number"),
