@@ -5,7 +5,8 @@ house's name), after titles, legal forms, accents, case, order and stray hyphens
 corpus: an alias that goes with one given name in most rows stands for it.
 
 Different names are joined by a prefix-filtered set-similarity join: q-grams of one token together with the other token
-are the elements, rarest first, and only a prefix of them is used as join keys. Candidates are verified by a soft weighted
+are the elements, rarest first, and only a prefix of them is used as join keys; cores a slip apart that share too few q-grams
+are found by their deletion neighbourhoods. Candidates are verified by a soft weighted
 token similarity in which rare tokens count more; two established tokens that differ are never variants of each other. How
 often a misspelt given name is met grows with the table, so it is held against the commoner one it resembles, not a number.
 Linked names form components by label propagation. Rows of a component are divided into entities by equal keys only (birth
@@ -163,6 +164,19 @@ def _prefix_join(nodes: DataFrame, key: Column, share: float) -> DataFrame:
     return prefix.withColumnRenamed("node", "a").join(other, "element").where("a < b").select("a", "b").distinct()
 
 
+def _slip_keys(token: Column) -> Column:
+    """The token with each one of its letters left out, itself, and its letters sorted: names a slip apart share one of them."""
+    less = F.transform(F.sequence(F.lit(1), F.length(token)), lambda k: F.concat(F.substring(token, F.lit(1), k - 1), F.substring(token, k + 1, F.length(token))))
+    return F.array_distinct(F.concat(less, F.array(token, F.concat(F.lit("*"), F.array_join(F.array_sort(F.split(token, "")), "")))))
+
+
+def _slip_join(nodes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of node ids with one head whose cores may be a slip apart; short ones needn't share a q-gram."""
+    keys = nodes.select("node", F.explode(F.transform(_slip_keys(F.col("core")), lambda key: F.xxhash64("kind", "head", key))).alias("key"))
+    other = keys.select(F.col("node").alias("b"), "key")
+    return keys.withColumnRenamed("node", "a").join(other, "key").where("a < b").select("a", "b").distinct()
+
+
 def link_names(names: DataFrame) -> DataFrame:
     """(a, b): ids of different full names (node, kind, head, core) that are spellings of one name of one kind."""
     sizes = names.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("core").alias("cores")).collect()  # two kinds
@@ -174,7 +188,7 @@ def link_names(names: DataFrame) -> DataFrame:
     tagged = lambda token, grams: F.transform(grams, lambda g: F.concat("kind", token, F.lit("\u0001"), g))
     near_core = _prefix_join(nodes, tagged(F.col("head"), _grams(F.col("core"), GRAM)), LEAST_SHARED)
     near_head = _prefix_join(nodes.where("length(head) > 1"), tagged(F.col("core"), _grams(F.col("head"), HEAD_GRAM)), 0.0)
-    pairs = cut_lineage(near_core.unionAll(near_head).distinct())
+    pairs = cut_lineage(near_core.unionAll(near_head).unionAll(_slip_join(nodes)).distinct())
     side = lambda p: nodes.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("kind", "head", "core", "head_df", "core_df")])
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     c = F.col

@@ -82,6 +82,14 @@ def test_misspelt_given_names_link_at_every_size(spark, growth):
         assert found == want
 
 
+def test_slips_in_short_family_names_link(spark):
+    cores = ["smith", "smuth", "weber", "wber", "wolters", "wolterss", "kramer", "kraimer", "berger", "bregre", "hansen", "jansen"]
+    heads = ["greta"] * 10 + ["ludwig", "silke"]
+    rows = [(i, "p", head, core) for i, (head, core) in enumerate(zip(heads, cores))]
+    found = {tuple(r) for r in names.link_names(spark.createDataFrame(rows, "node long, kind string, head string, core string")).collect()}
+    assert found == {(0, 1), (4, 5), (6, 7)}  # "wber" is too short for the verification, "bregre" too far
+
+
 def test_names_of_nothing(spark):
     assert linked(spark, []) == (set(), set())
 
