@@ -99,7 +99,30 @@ def test_stuffed_pages(spark):
     assert {r.doc_id for r in stuffing.stuffed_pages(docs(spark, texts)).collect()} == {0, 1, 2}
 
 
-def test_repeated_cover_against_brute_force():
+PROSE = {
+    "ru": "Сегодня утром мы долго шли вдоль реки и говорили о старом доме, который дед построил после войны. В саду уже цвели яблони, и сосед помогал нам чинить забор. Вечером пришла тётя с пирогом, мы пили чай на веранде и слушали, как дождь стучит по крыше. Мне казалось, что лето никогда не кончится, но в воздухе уже пахло осенью.",
+    "pl": "Dzisiaj rano poszliśmy nad rzekę i długo rozmawialiśmy o starym domu, który dziadek zbudował po wojnie. W ogrodzie kwitły już jabłonie, a sąsiad pomagał nam naprawiać płot. Wieczorem przyszła ciotka z ciastem, piliśmy herbatę na werandzie i słuchaliśmy deszczu. Wydawało mi się, że lato nigdy się nie skończy.",
+    "fi": "Tänä aamuna kävelimme pitkään joen rantaa ja puhuimme vanhasta talosta, jonka isoisä rakensi sodan jälkeen. Puutarhassa omenapuut kukkivat jo, ja naapuri auttoi meitä korjaamaan aitaa. Illalla täti tuli piirakan kanssa, joimme teetä kuistilla ja kuuntelimme sateen ääntä katolla.",
+}
+
+
+def test_prose_of_unknown_languages_is_not_stuffed_but_stuffing_is(spark):
+    rng = random.Random(6)
+    words = ["дешёвый", "виски", "купить", "онлайн", "скидка", "магазин", "лучший"]
+    stuffed = " ".join(rng.choice(words) for _ in range(80))
+    texts = [*PROSE.values(), *(p + "\n" + q for p in PROSE.values() for q in PROSE.values() if p != q), stuffed, "a" * 500, "#" * 300, "\u2028" * 400]
+    assert {r.doc_id for r in stuffing.stuffed_pages(docs(spark, texts)).collect()} == {9}
+
+
+def test_a_very_long_page_of_prose_and_of_keywords(spark):
+    rng = random.Random(7)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in ("an", "el", "ir", "ost") for c in ("ta", "mo", "lin", "der", "gu")]
+    prose = ". ".join(" ".join(["the", rng.choice(words), "and", *rng.sample(words, 3), "in", "the", rng.choice(words)]) for _ in range(6_000))
+    keywords = " ".join(rng.choice(words[:12]) for _ in range(40_000))
+    assert {r.doc_id for r in stuffing.stuffed_pages(docs(spark, [prose, keywords])).collect()} == {1}
+
+
+def test_repeated_signs_against_brute_force():
     rng = random.Random(4)
     for _ in range(40):
         t = "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 60)))
@@ -108,4 +131,18 @@ def test_repeated_cover_against_brute_force():
             for k in range(len(t) - n + 1):
                 if t.find(t[k : k + n], 0) != t.rfind(t[k : k + n]):
                     covered |= set(range(k, k + n))
-        assert stuffing.repeated_cover(t) == len(covered)
+        assert stuffing.repeated_signs(t, 4).count(1) == len(covered)
+
+
+def test_repeated_words_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(40):
+        ws = [rng.choice(["oak", "rum", "a", "ale", "".join(rng.choices("bcdfg", k=6))]) for _ in range(rng.randrange(1, 40))]
+        text, covered = " ".join(ws), set()
+        at = [sum(map(len, ws[:k])) + k for k in range(len(ws))]
+        for n in range(1, len(ws)):
+            for k in range(len(ws) - n + 1):
+                end = at[k + n - 1] + len(ws[k + n - 1])
+                if end - at[k] >= 4 and any(ws[j : j + n] == ws[k : k + n] for j in range(len(ws) - n + 1) if j != k):
+                    covered |= set(range(at[k], end))
+        assert stuffing.repeated_words(text).count(1) == len(covered)
