@@ -54,6 +54,10 @@ def p7_found(spark, sf_dir):
     return names.linked_pairs(table(spark, sf_dir, "people"), table(spark, sf_dir, "producers"))
 
 
+def p7_classes(spark, sf_dir):
+    return names.entity_classes(table(spark, sf_dir, "people"), table(spark, sf_dir, "producers"))
+
+
 def p8_ids(spark, sf_dir):
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_neighbors": p6_neighbors,
     "p7_found": p7_found,
+    "p7_classes": p7_classes,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_found": p9_found,

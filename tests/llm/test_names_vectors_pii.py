@@ -198,3 +198,27 @@ def test_model_without_any_data(spark):
 @pytest.mark.parametrize("name,tokens", [("Dr. Ann B. Cole-Smith Jr.", ("ann", "colesmith")), ("COLE Ann", ("ann", "cole")), ("Cole, A.", ("a", "cole")), ("Ann", None), ("", None), ("Cole, Jr.", None)])
 def test_person_tokens(name, tokens):
     assert names.person_tokens(name) == tokens
+
+
+@pytest.mark.parametrize("n", [2, 6, 10, 60])
+def test_misspellings_link_however_often_they_are_met(spark, n):
+    word = lambda r, k: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(k))
+    rng = random.Random(n)
+    cores, heads = [word(rng, 5) for _ in range(n + 200)], [word(rng, 3) for _ in range(n + 40)]
+    rows = [("p", "jonathan", c) for c in cores[: 2 * n]] + [("p", "jonahtan", c) for c in cores[:n]]
+    rows += [("p", h, "harrington") for h in heads[: 2 * n]] + [("p", h, "harringtn") for h in heads[:n]]
+    rows += [("p", "konstantin", "wolkenstein"), ("p", "konstatin", "wolkenstien")]  # a slip in both
+    rows += [("p", rng.choice(heads), c) for c in cores]
+    rows = sorted(set(rows))
+    at = {(h, c): k for k, (_, h, c) in enumerate(rows)}
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in names.link_names(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "node long, kind string, head string, core string")).collect()}
+    pair = lambda a, b: tuple(sorted((at[a], at[b])))
+    want = {pair(("jonathan", c), ("jonahtan", c)) for c in cores[:n]} | {pair((h, "harrington"), (h, "harringtn")) for h in heads[:n]}
+    assert want | {pair(("konstantin", "wolkenstein"), ("konstatin", "wolkenstien"))} <= found
+
+
+def test_classes_and_learned_trades(spark):
+    house = lambda i, name: (i, name, "Molenport", "UK", None, "clash")
+    rows = [house(k, f"{w} Skola") for k, w in enumerate(["Brimfalont", "Gostaruvek", "Trelimandos", "Pavoskintal"], 1)] + [house(9, "Brimfalont Skla"), house(10, "Gostaruvek Brewing Co.")]
+    found = {(r.source_table, r.id): (r.entity, r.n_links) for r in names.entity_classes(spark.createDataFrame([], PEOPLE), spark.createDataFrame(rows, HOUSES)).collect()}
+    assert found["producers", 1] == found["producers", 9] == (1, 1) and found["producers", 2] == (2, 0) and found["producers", 10] == (10, 0)
