@@ -1,7 +1,10 @@
 import datetime
 import random
 
-from quillmesh.llm.conversations import rebuild_conversations
+from pyspark.sql import functions as F
+
+from quillmesh.llm import conversations
+from quillmesh.llm.conversations import merged_paths, overlap_links, rebuild_conversations, with_digests
 
 SCHEMA = "id long, chat string, instant timestamp_ntz, ms string, sender string, text string, photos array<string>, at long, role string"
 BASE = datetime.datetime(2024, 1, 1, 5, 0)
@@ -62,3 +65,35 @@ def test_a_conversation_over_many_borders(spark):
 
 def test_empty(spark):
     assert run(spark, []) == set()
+
+
+def sequences(spark, **fragments):
+    rows = [(name, k, hash(("m", h)) % 10**12) for name, hs in fragments.items() for k, h in enumerate(hs, 1)]
+    return with_digests(spark.createDataFrame(rows, "fragment string, pos long, hash long"))
+
+
+def test_overlaps_by_message_hashes(spark):
+    rows = sequences(spark, a="abcde", b="defg", c="gh", d="xdefg", e="dexfg", f="edq", lone="z")
+    links = overlap_links(rows)
+    # "f" has its messages in another order and shares the last one of "a" only; all of "b" is the end of "d"
+    assert {tuple(r) for r in links.collect()} == {("a", "b"), ("a", "e"), ("a", "f"), ("d", "b"), ("b", "c"), ("d", "c"), ("e", "c")}
+    # every link here touches a fragment with several partners
+    assert merged_paths(links).collect() == []
+    clean = overlap_links(sequences(spark, a="abcde", b="defg", c="gh", d="hijk", e="kl"))
+    assert {tuple(r) for r in merged_paths(clean).collect()} == {("b", "a"), ("c", "a"), ("d", "a"), ("e", "a")}
+    # a wrong hash breaks the chain there
+    broken = overlap_links(sequences(spark, a="abcde", b="dXfg", c="gh", d="hijk", e="kl"))
+    assert {tuple(r) for r in merged_paths(broken).collect()} == {("c", "b"), ("d", "b"), ("e", "b")}
+    ring = overlap_links(sequences(spark, a="abc", b="cda"))
+    assert merged_paths(ring).collect() == []
+
+
+def test_a_changed_hash_drops_the_conversation(spark, monkeypatch):
+    rows = [(i, "long", BASE + datetime.timedelta(minutes=50 * i), "000", "me" if i % 2 == 0 else "bot", f"m{i}", None, None, None) for i in range(40)]
+    assert len(run(spark, rows)) == 40
+    make = conversations.with_digests
+    crossing = {i for i in range(40) if (BASE + datetime.timedelta(minutes=50 * i)).hour % 6 == 5}
+    assert crossing
+    monkeypatch.setattr(conversations, "with_digests", lambda df: make(df.withColumn("hash", F.when(F.col("id").isin(*crossing) & ~F.col("own"), F.col("hash") + 1).otherwise(F.col("hash")))))
+    # what begins with borrowed messages that no fragment ends with has a gap; the first fragment doesn't
+    assert run(spark, rows) == {(0, 0, 0), (0, 1, 1)}
