@@ -2,8 +2,8 @@
 
 The size of a text is its number of code points divided by 4, rounded down, at least 1. Boundaries (paragraph, line,
 sentence, clause and word ends) are found once per text, as sorted arrays of offsets; the last boundary under the limit is
-found by binary search, strongest kind first; without any the cut is hard. The next piece starts up to ``overlap`` tokens
-before the cut, at the first boundary there. As the token offset of a character is its position divided by 4, the prefix
+found by binary search, strongest kind first; without any the cut is hard. The next piece starts ``overlap`` tokens
+before the cut, or at the first boundary of any kind behind that place, so the overlap never shrinks by more than a word. As the token offset of a character is its position divided by 4, the prefix
 sums of the token offsets are the positions themselves.
 """
 
@@ -43,6 +43,7 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     if n <= most:
         return [(0, n)]
     ends = [[m.end() for m in p.finditer(text)] for p in BOUNDARIES]
+    any_end = sorted({e for offsets in ends for e in offsets})
     pieces, start = [], 0
     while n - start > most:
         high, low = start + most, start + most // 2
@@ -53,13 +54,9 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
                 cut = offsets[k]
                 break
         pieces.append((start, cut))
-        # step back by the overlap to the strongest boundary inside it
-        again = cut - back
-        for offsets in ends:
-            k = bisect_left(offsets, cut - back)
-            if k < len(offsets) and offsets[k] < cut:
-                again = offsets[k]
-                break
+        # step back by the whole overlap, then on to the next boundary of whatever kind
+        k = bisect_left(any_end, cut - back)
+        again = any_end[k] if k < len(any_end) and any_end[k] < cut else cut - back
         start = max(again, start + 1)
     pieces.append((start, n))
     return pieces
