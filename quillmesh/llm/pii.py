@@ -1,13 +1,15 @@
 """Personal information in free text, by a skip-chain conditional random field.
 
-The nodes of a document's field are its candidate tokens: capitalised words that stand next to each other, and the segments
-that the grammars of e-mail addresses, numbers, codes and street addresses cut out as one token each (all other text can
-only be outside). Neighbouring words of a run are linked in a chain; equal and similar tokens anywhere in the document are
-linked by skip edges that reward equal labels. Loopy sum-product message passing gives the labels.
+The nodes of a document's field are its candidate tokens: all capitalised words that stand next to each other (and lower-case ones
+around a known given name), and the segments that the grammars of e-mail addresses, numbers, codes and street addresses cut out as
+one token each; all other text can only be outside. Neighbouring words of a run are linked in a chain; equal and similar tokens
+(a slip, accents or hyphens apart) anywhere in the field are linked by skip edges that reward equal labels. Loopy sum-product
+message passing gives the labels.
 
 The parameters are trained here, piecewise: node potentials as a logistic model over sparse features, chain potentials from
-label bigrams, on a bounded sample of fields that the people table and announcing words label. The lexicon of given names and
-the endings of family names are counted over the whole people table and cut at a fixed size, so the model's size is bounded.
+label bigrams, the skip weight from how often similar tokens agree, on a bounded sample of fields that the people table and
+announcing words label. Given names and endings of family names, counted over the whole people table, are features and nothing
+more: in half of the sample a part of them is hidden, so the model learns to tell names it never met by their surroundings.
 """
 
 from __future__ import annotations
@@ -15,24 +17,26 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from bisect import bisect_right
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .names import person_tokens
+from .names import TITLES, folded, person_tokens
 
 MOST_GIVEN_NAMES = 5_000
 MOST_ENDINGS = 1_000
 ENDING, LEAST_LETTERS = 4, 7
 SAMPLE_FIELDS = 6_000
 ROUNDS = 6
-SKIP_WEIGHT = 1.5
 PASSES = 4
+HIDDEN = 2  # one in so many given names and endings is hidden in half of the sample
+LEAST_SIMILAR = 6  # letters of tokens that are similar with a slip between them
 
 FIELDS = (("people", "biography"), ("people", "notes"), ("messages", "text"), ("chunks", "content"))
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[STREET_ADDRESS]", "person_name": "[PERSON_NAME]"}
@@ -71,6 +75,7 @@ RUN = regex.compile(rf"(?<![\w@.'’-])(?:{_WORD}|\p{{Lu}}\.)(?:(?:, ?| )(?:{_WO
 TOKEN = regex.compile(rf"{_WORD}|\p{{Lu}}\.")
 _HINT = regex.compile(r"\d|@| dot |[(\[{](?:dot|at)[)\]}]|\p{Lu}(?:[\p{L}\p{M}'’-]*|\.),? \p{Lu}")
 _LOWER = regex.compile(r"[\p{L}-]+")
+_NEXT = regex.compile(r"[ \t]*(?:([\p{L}-]+)|(\S))")
 _SPLIT, _LOWER_TOKEN = re.compile(r"[\s,;:]+"), regex.compile(r"\p{Ll}\.|\p{Ll}+")
 
 # fixed values: words that announce a number of each label, for the training sample
@@ -78,6 +83,9 @@ ANNOUNCE = {
     "id_number": "passport licence license insurance ssn security steuer-id steuernummer tax ni id card ausweis personalausweis nif dni".split(),
     "O": "order lot tracking isbn score batch build version revision page iso room chapter ratio paid sku invoice ticket".split(),
 }
+# fixed values: texts with what looks like an address and is none, a share of the training sample
+ADDRESS_LIKE = ("install parser@2.0.1 first", "see icon@2x.png in the folder", "pin cask@1.4.beta here", "tag v2@next.build now", "we meet at noon dot then", "chapter 12 Winter Road", "track 7 Long Way", "scene 3 Old Court", "verse 14 Narrow Lane", "season 2 Garden Row")
+NOT_ADDRESSES = 100  # examples to one of these
 
 
 def shape(text: str) -> str:
@@ -126,7 +134,7 @@ def _free(runs: Iterator[list[tuple[int, int, str]]], taken: list[tuple[int, int
             yield part
 
 
-def _runs(text: str, given: frozenset[str], endings: frozenset[str]) -> Iterator[list[tuple[int, int, str]]]:
+def _runs(text: str, given: frozenset[str], common: frozenset[str]) -> Iterator[list[tuple[int, int, str]]]:
     """Runs of words that may be a name, with their tokens: capitalised, or around a given name in lower case."""
     for m in RUN.finditer(text):
         tokens = [(t.start() + m.start(), t.end() + m.start(), t[0]) for t in TOKEN.finditer(m[0])]
@@ -137,12 +145,15 @@ def _runs(text: str, given: frozenset[str], endings: frozenset[str]) -> Iterator
             continue
         for m in regex.finditer(rf"(?<![\w@.'’-])(?:{name},? (?:\p{{Ll}}\. )?\p{{Ll}}{{6,}}|\p{{Ll}}{{6,}}, {name})(?![\w@])", text):
             tokens = [(t.start() + m.start(), t.end() + m.start(), t[0]) for t in _LOWER_TOKEN.finditer(m[0])]
-            if any(t[-ENDING:] in endings and len(t) >= LEAST_LETTERS for *_, t in tokens):
+            if any(t[-ENDING:] in common and len(t) >= LEAST_LETTERS for *_, t in tokens):
                 yield tokens
 
 
-def nodes_of(text: str, given: frozenset[str], endings: frozenset[str]) -> list[Node]:
-    """Candidate tokens of one field with their features; ``previous`` is the chain neighbour (or -1)."""
+def nodes_of(text: str, given: frozenset[str], endings: frozenset[str], common: frozenset[str], hide: Callable[[str], bool] = lambda word: False) -> list[Node]:
+    """Candidate tokens of one field with their features; ``previous`` is the chain neighbour (or -1).
+
+    ``common`` are the endings that a word in lower case needs beside a given name. Given names and endings for which ``hide`` holds are candidates, but their features are those of unknown words.
+    """
     if not _HINT.search(text) and given.isdisjoint(_SPLIT.split(text)):
         return []
     nodes, taken = [], []
@@ -158,33 +169,67 @@ def nodes_of(text: str, given: frozenset[str], endings: frozenset[str]) -> list[
         features = [f"{kind}", f"{kind}|{form}", f"{kind}|{min(digits, 16)}"] + [f"{kind}<{w}" for w in words] + [f"{kind}<1{words[-1]}" if words else f"{kind}<1"]
         nodes.append(Node(a, b, m[0], SEGMENT_LABELS[kind], features, -1, m[0]))
         taken.append((a, b))
-    for tokens in _free(_runs(text, given, endings), taken):
-        known = [t.lower() in given or t[-ENDING:].lower() in endings for _, _, t in tokens]
-        if not any(known):
-            continue
+    for tokens in _free(_runs(text, given, common), taken):
         head = text[max(0, tokens[0][0] - 30) : tokens[0][0]]
-        before = _LOWER.findall(head.rpartition("\n")[2])
+        line = head.rpartition("\n")[2]
+        before = _LOWER.findall(line)
         before = before[-1].lower() if before else "^"
-        opening = not head.rstrip(" \t\"'“(-*") or head.rstrip(" \t\"'“(-*")[-1:] in ".!?:\n"
+        behind = _NEXT.match(text, tokens[-1][1])
+        behind = (behind[1] or behind[2] or "$").lower() if behind else "$"
+        titled = before in TITLES
+        opening = not titled and not head.rstrip(" \t\"'“(-*") or not titled and head.rstrip(" \t\"'“(-*")[-1:] in ".!?:\n"
+        title = line.lstrip().startswith("#")
+        lows = [t.lower() for *_, t in tokens]
+        named = [low in given and not hide(low) for low in lows]
+        ended = [low[-ENDING:] in endings and not hide(low[-ENDING:]) for low in lows]
+        unknown = [not (low in given or low[-ENDING:] in endings) for low in lows]
         for k, (a, b, t) in enumerate(tokens):
-            low = t.lower()
-            f = ["w", f"lower{t.islower()}", f"short{len(t) <= 2}", f"at{k}of{min(len(tokens), 4)}", f"opening{opening and k == 0}", f"end|{low[-ENDING:] if low[-ENDING:] in endings else '-'}",
-                 f"given{low in given}", f"caps{t.isupper()}", f"size{min(len(t), 12)}", f"dot{t.endswith('.')}"]
+            low = lows[k]
+            f = ["w", f"lower{t.islower()}", f"short{len(t) <= 2}", f"at{k}of{min(len(tokens), 4)}", f"opening{opening and k == 0}", f"end|{low[-ENDING:] if ended[k] else '-'}",
+                 f"given{named[k]}", f"caps{t.isupper()}", f"size{min(len(t), 12) if named[k] or ended[k] else '-'}", f"dot{t.endswith('.')}", f"title{title}", f"titled{titled}", f"titled{titled}{k}"]
             f.append(f"before|{before if k == 0 else '+'}")
-            f.append(f"left|{'g' if k and tokens[k - 1][2].lower() in given else 'x'}")
-            f.append(f"right|{'e' if k + 1 < len(tokens) and tokens[k + 1][2][-ENDING:].lower() in endings else 'x'}")
+            f.append(f"run|{min(len(tokens), 4)}|{before}")
+            f.append(f"behind|{behind}")
+            f.append(f"left|{'g' if k and named[k - 1] else 'x'}")
+            f.append(f"right|{'e' if k + 1 < len(tokens) and ended[k + 1] else 'x'}")
             f.append(f"comma{text[b : b + 1] == ','}")
+            if unknown[k]:  # words of names have no features of their own, or the model would only know those it has met
+                f += [f"word|{low}", f"tail|{low[-3:]}"]
+            if k and unknown[k - 1]:
+                f.append(f"left|{lows[k - 1]}")
+            if k + 1 < len(tokens) and unknown[k + 1]:
+                f.append(f"right|{lows[k + 1]}")
             nodes.append(Node(a, b, t, WORD_LABELS, f, len(nodes) - 1 if k else -1, low))
     return nodes
 
 
+def similar_tokens(nodes: list[Node]) -> list[tuple[int, int]]:
+    """Pairs of nodes of one kind whose tokens are equal or similar: to the last one before it by each way of being similar."""
+    last: dict[tuple, int] = {}
+    pairs: set[tuple[int, int]] = set()
+    for k, n in enumerate(nodes):
+        if n.labels is WORD_LABELS and len(n.text) <= 2:
+            continue
+        plain = folded(n.key).replace("-", "").replace("'", "").replace("’", "")
+        keys = {plain}
+        if n.labels is WORD_LABELS and len(plain) >= LEAST_SIMILAR:
+            keys |= {plain[:j] + plain[j + 1 :] for j in range(len(plain))}
+        for key in keys:
+            other = last.get((n.labels, key))
+            if other is not None:
+                pairs.add((other, k))
+            last[n.labels, key] = k
+    return sorted(pairs)
+
+
 class SkipChain:
     """Parameters and inference. ``weights[feature][label]``, ``chain[(left, right)]``."""
 
-    def __init__(self, given: frozenset[str], endings: frozenset[str]):
-        self.given, self.endings = given, endings
+    def __init__(self, given: frozenset[str], endings: frozenset[str], common: frozenset[str]):
+        self.given, self.endings, self.common = given, endings, common
         self.weights: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
         self.chain: dict[tuple[str, str], float] = {}
+        self.skip = 0.0
 
     def potentials(self, node: Node) -> list[float]:
         out = [0.0] * len(node.labels)
@@ -202,7 +247,7 @@ class SkipChain:
             rng.shuffle(flat)
             rate = 0.5 / (1 + turn)
             for node, truth in flat:
-                kept = [f for f in node.features if not (f.startswith(("given", "end|")) and rng.random() < 0.2)]
+                kept = [f for f in node.features if not (f.startswith(("given", "end|", "word|")) and rng.random() < 0.2)]
                 score = [sum(self.weights[f][label] for f in kept) for label in node.labels]
                 top = max(score)
                 mass = [math.exp(s - top) for s in score]
@@ -225,18 +270,22 @@ class SkipChain:
             for b in WORD_LABELS:
                 self.chain[a, b] = math.log((pair[a, b] + 0.5) * total / ((left[a] + 2) * (right[b] + 2)))
         self.weights = {f: dict(w) for f, w in self.weights.items()}
+        # how much likelier similar tokens of a field agree than any two
+        agree, all_pairs = 1.0, 2.0
+        for field in examples:
+            for a, b in similar_tokens([n for n, _ in field]):
+                if field[a][1] is not None and field[b][1] is not None:
+                    agree += field[a][1] == field[b][1]
+                    all_pairs += 1
+        usual = Counter(truth for _, truth in flat)
+        chance = sum((n / max(1, len(flat))) ** 2 for n in usual.values()) or 0.5
+        self.skip = max(0.0, math.log(max(agree / all_pairs, 1e-3) / min(max(chance, 1e-3), 1.0)))
 
     def label(self, nodes: list[Node]) -> list[str]:
         """Labels of the nodes of one field, by loopy sum-product over chain and skip edges."""
         score = [self.potentials(n) for n in nodes]
         edges: list[tuple[int, int, bool]] = [(n.previous, k, True) for k, n in enumerate(nodes) if n.previous >= 0]
-        last: dict[str, int] = {}
-        for k, n in enumerate(nodes):
-            if n.labels is WORD_LABELS and len(n.text) <= 2:
-                continue
-            if n.key in last and nodes[last[n.key]].labels == n.labels:
-                edges.append((last[n.key], k, False))
-            last[n.key] = k
+        edges += [(a, b, False) for a, b in similar_tokens(nodes)]
         if not edges:
             return [n.labels[max(range(len(s)), key=s.__getitem__)] for n, s in zip(nodes, score)]
         incoming: dict[int, list[int]] = defaultdict(list)
@@ -259,7 +308,7 @@ class SkipChain:
                     if chained:
                         sums = sum(math.exp(v - top + self.chain[(x, y) if m % 2 == 0 else (y, x)]) for x, v in zip(nodes[source].labels, belief))
                     else:
-                        sums = sum(math.exp(v - top + (SKIP_WEIGHT if x == y else 0.0)) for x, v in zip(nodes[source].labels, belief))
+                        sums = sum(math.exp(v - top + (self.skip if x == y else 0.0)) for x, v in zip(nodes[source].labels, belief))
                     out.append(math.log(sums))
                 base = max(out)
                 message[m] = [x - base for x in out]
@@ -273,7 +322,7 @@ class SkipChain:
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the personal information in ``text``, in order, without overlaps."""
-        nodes = nodes_of(text, self.given, self.endings)
+        nodes = nodes_of(text, self.given, self.endings, self.common)
         if not nodes:
             return []
         labels = self.label(nodes)
@@ -291,9 +340,13 @@ class SkipChain:
             kinds = labels[k:j]
             if "family" in kinds and ("given" in kinds or "initial" in kinds):
                 f = k + kinds.index("family")
+                behind_it = f + 1 + kinds[f + 1 - k :].index("family") if "family" in kinds[f + 1 - k :] else j
+                if f == k and behind_it < j and text[nodes[f].end : nodes[f].end + 1] == ",":
+                    if nodes[behind_it].key[-ENDING:] in self.endings or nodes[f].key[-ENDING:] not in self.endings:
+                        k, f, behind_it = k + 1, behind_it, j  # a town before a whole name
                 # the given name stands on one side of the family name: behind it after a comma, or where none stands before
                 last_first = j > f + 1 and (f == k or text[nodes[f].end : nodes[f].end + 1] == ",")
-                a, b = (f, j) if last_first else (k, f + 1)
+                a, b = (f, behind_it) if last_first else (k, f + 1)
                 if b - a > 1:
                     out.append((nodes[a].start, nodes[b - 1].end, "person_name"))
             k = max(j, k + 1)
@@ -374,7 +427,7 @@ def fit_model(fields: DataFrame, people: DataFrame) -> SkipChain:
     nicknames = people.select(F.explode(F.split("aliases", ",")).alias("w")).select(F.lower(F.trim("w")).alias("w")).where(r"w rlike '^\\p{L}{2,}$'")
     nicknames = nicknames.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(MOST_GIVEN_NAMES).collect()
     given = frozenset(r[0] for r in heads) | frozenset(r[0] for r in nicknames)
-    model = SkipChain(given, frozenset(r[0] for r in endings if r[1] >= least))
+    model = SkipChain(given, frozenset(r[0] for r in endings), frozenset(r[0] for r in endings if r[1] >= least))
     place = F.xxhash64("source_table", "row_id", "field_name")
     share = max(1, fields.count() // (8 * SAMPLE_FIELDS))  # thins the fields first, so that little goes to the driver
     hinted = fields.where(F.pmod(place, F.lit(share)) == 0).where(r"text rlike '[0-9@]|\\p{Lu}\\S* \\p{Lu}'")
@@ -382,9 +435,13 @@ def fit_model(fields: DataFrame, people: DataFrame) -> SkipChain:
     words = {t.lower() for r in sample for t in TOKEN.findall(r.text)}
     families = frozenset(r[0] for r in names.select("core").distinct().join(people.sparkSession.createDataFrame([(w,) for w in sorted(words)] or [("",)], "core string"), "core").collect())
     examples = []
-    for r in sample:
-        if nodes := nodes_of(r.text, model.given, model.endings):
+    for k, r in enumerate(sample):
+        hide = (lambda word: zlib.crc32(word.encode()) % HIDDEN == 0) if k % 2 else (lambda word: False)
+        if nodes := nodes_of(r.text, model.given, model.endings, model.common, hide):
             examples.append(_weak_labels(nodes, model.given, model.endings, families))
+    for k in range(len(examples) // NOT_ADDRESSES):  # what looks like an address and is none is rare in the sample
+        text = ADDRESS_LIKE[k % len(ADDRESS_LIKE)]
+        examples.append([(n, "O" if n.labels is not WORD_LABELS else None) for n in nodes_of(text, model.given, model.endings, model.common)])
     model.fit(examples)
     return model
 
