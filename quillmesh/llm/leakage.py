@@ -1,100 +1,96 @@
-"""Evaluation passages inside training documents, by a generalised suffix automaton of the items.
+"""Evaluation passages inside training documents, by generalised suffix automata of the items.
 
-The automaton is built over the normalised words of a bounded block of items (more items make more blocks, each a pass over
-the documents). Documents are streamed through it word by word; the longest match that ends at each word is tracked, and
-where it reaches ``min_words`` the items that hold it are read off the state. Spans beyond the length limit are cut out of
-the text, and documents covered beyond the coverage limit are marked to be dropped.
+Items are divided into blocks of bounded size. The corpus is read once, whatever their number: a filter of fixed size over all
+runs of ``min_words`` item words, built on the executors, lets through the few documents that may hold a passage, and an exact
+join of those documents' runs with the items' finds the blocks that each of them concerns. There the automaton of the block is
+built over the normalised words, and the documents are streamed through it word by word; the longest match that ends at each word
+is tracked, and where it reaches ``min_words`` the items that hold it are read off the state. Spans are cut out of the text, and
+documents covered beyond the coverage limit are marked to be dropped.
+
+The driver sees no item and no document, only the bits of the filter. A block that concerns many documents is shared by several
+tasks of bounded size.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from array import array
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .automaton import TokenAutomaton
+
 MIN_WORDS = 10
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 200_000
+TASK_CHARS = 32_000_000  # of documents that are streamed through one automaton in one task
+FILTER_BITS, FILTER_HASHES = 32, 5  # bits a run of item words and marks that it sets
+MOST_FILTER_BITS = 2**29  # 64 MB; a fuller filter lets more documents through, but loses none
 MOST_COVERAGE = 0.5
 
 _WORD = re.compile(r"[^\W_]+")
 
 
-class PassageAutomaton:
-    """Generalised suffix automaton over words. A state with its suffix link stands for the passages between their lengths."""
+class PassageAutomaton(TokenAutomaton):
+    """Automaton over the words of items. A state with its suffix link stands for the passages between their lengths."""
 
     def __init__(self, items: list[tuple[int, list[str]]], min_words: int):
         self.min_words = min_words
         self.vocabulary: dict[str, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        holders: list[set[int]] = [set()]
-        for item, words in items:
-            last = 0
-            for w in words:
-                last = self._extend(self.vocabulary.setdefault(w, len(self.vocabulary)), last, holders)
-                holders[last].add(item)
-        for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            if self.length[self.link[state]] > 0:
-                holders[self.link[state]] |= holders[state]
-        # only states that can stand for min_words words are ever asked
-        self.items = [tuple(sorted(h)) if n >= min_words else () for h, n in zip(holders, self.length)]
-
-    def _new(self, length: int, link: int, moves: dict[int, int], holders: list[set[int]]) -> int:
-        self.next.append(moves), self.link.append(link), self.length.append(length), holders.append(set())
-        return len(self.next) - 1
-
-    def _split(self, p: int, c: int, q: int, holders: list[set[int]]) -> int:
-        clone = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]), holders)
-        self.link[q] = clone
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
-            p = self.link[p]
-        return clone
-
-    def _extend(self, c: int, last: int, holders: list[set[int]]) -> int:
-        if c in self.next[last]:  # an earlier item holds this passage
-            q = self.next[last][c]
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q, holders)
-        state = self._new(self.length[last] + 1, 0, {}, holders)
-        p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = state
-            p = self.link[p]
-        if p >= 0:
-            q = self.next[p][c]
-            self.link[state] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q, holders)
-        return state
+        super().__init__([[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words] for _, words in items])
+        # items of the states that can stand for min_words words: the first one in an array, further ones beside it
+        self.first = array("q", [-1]) * len(self.length)
+        self.further: dict[int, set[int]] = {}
+        self.ids = [item for item, _ in items]
+        for k, at in enumerate(self.ends):
+            for state in at:
+                self._hold(state, k)
+        for state in sorted((s for s in range(1, len(self.length)) if self.length[self.link[s]] >= min_words), key=lambda s: -self.length[s]):
+            for k in self._held(state):
+                self._hold(self.link[state], k)
+
+    def _held(self, state: int) -> list[int]:
+        return [self.first[state], *self.further.get(state, ())] if self.first[state] >= 0 else []
+
+    def _hold(self, state: int, k: int) -> None:
+        if self.length[state] < self.min_words or self.first[state] == k:
+            return
+        if self.first[state] < 0:
+            self.first[state] = k
+        else:
+            self.further.setdefault(state, set()).add(k)
 
     def matches(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
         """(position of the last word, length, state) wherever the longest match reaches ``min_words``."""
-        get, moves, link, length, least = self.vocabulary.get, self.next, self.link, self.length, self.min_words
+        get, move, link, length, least = self.vocabulary.get, self.move, self.link, self.length, self.min_words
         state = n = 0
         for k, w in enumerate(words):
             c = get(w)
             if c is None:
                 state = n = 0
                 continue
-            while state and c not in moves[state]:
+            while (to := move(state, c)) < 0 and state:
                 state = link[state]
                 n = length[state]
-            if c in moves[state]:
-                state = moves[state][c]
-                n += 1
-                if n >= least:
-                    yield k, n, state
-            else:
+            if to < 0:
                 n = 0
+                continue
+            state, n = to, n + 1
+            if n >= least:
+                yield k, n, state
 
     def items_at(self, state: int, n: int) -> Iterator[tuple[int, int]]:
         """(item, words it shares with the match of length ``n`` at ``state``), longest first, each item once."""
         seen: set[int] = set()
         while state and min(n, self.length[state]) >= self.min_words:
-            for item in self.items[state]:
-                if item not in seen:
+            for k in self._held(state):
+                if (item := self.ids[k]) not in seen:
                     seen.add(item)
                     yield item, min(n, self.length[state])
             state = self.link[state]
@@ -104,61 +100,147 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def _blocks(items: DataFrame, min_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    block, size = [], 0
-    for row in items.select("item_id", "text").dropna().orderBy("item_id").toLocalIterator():
-        words = _words(row["text"])
-        if len(words) < min_words:
-            continue
-        block.append((row["item_id"], words))
-        size += len(words)
-        if size >= BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+class _RunHashes:
+    """64-bit hashes of all runs of ``min_words`` words of a text."""
+
+    MOST_WORDS = 500_000  # kept with their hashes, then forgotten and hashed again
+
+    def __init__(self, min_words: int):
+        self.factors = np.array([pow(0x9E3779B97F4A7C15, j + 1, 2**64) | 1 for j in range(min_words)], dtype=np.uint64)
+        self.known: dict[str, int] = {}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(words) < len(self.factors):
+            return np.empty(0, np.int64)
+        if len(self.known) > self.MOST_WORDS:
+            self.known.clear()
+        known = self.known
+        for w in words:
+            if w not in known:
+                known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+        n = len(words) - len(self.factors) + 1
+        out = np.zeros(n, np.uint64)
+        for j, f in enumerate(self.factors):
+            out += h[j : j + n] * f
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+def _slot(runs: np.ndarray, bits: int, j: int) -> np.ndarray:
+    """Position of the j-th mark of each run in a filter of ``bits`` bits (a power of two)."""
+    low, high = runs.view(np.uint64) & np.uint64(0xFFFFFFFF), runs.view(np.uint64) >> np.uint64(32)
+    return ((low + np.uint64(j) * (high | np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _item_runs(items: DataFrame, min_words: int, blocks: int) -> DataFrame:
+    """(run, block): hashes of the runs of item words and the block of their item, each once."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _RunHashes(min_words)
+        for batch in batches:
+            found = [(block, np.unique(hasher.of(_words(text)))) for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            runs = np.concatenate([r for _, r in found]) if found else np.empty(0, np.int64)
+            whose = np.repeat([b for b, _ in found], [len(r) for _, r in found]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(whose, pa.int64())], names=["run", "block"])
 
+    placed = items.select(_block_of(blocks).alias("block"), "text")
+    return placed.mapInArrow(hashes, "run long, block long").distinct()
 
-def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+
+def _block_of(blocks: int):
+    return F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("long")
+
+
+def _filter(runs: DataFrame) -> tuple[np.ndarray, int]:
+    """The marks of all runs, as bytes, and their number; only the bitmap comes to the driver."""
+    n = runs.count()
+    bits = min(MOST_FILTER_BITS, 2 ** max(15, math.ceil(math.log2(max(1, n) * FILTER_BITS))))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique([_slot(batch.column(0).to_numpy(), bits, j) for j in range(FILTER_HASHES)]), pa.int64())], names=["slot"])
+
+    marked = runs.select("run").mapInArrow(slots, "slot long").groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("marks"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in marked.collect():
+        out[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(bytes(r["marks"]), np.uint8)[:4096]
+    return out, bits
+
+
+def _spans(automaton: PassageAutomaton, doc: int, text: str) -> list[tuple[int, int, int, int, int]]:
+    rows: list[tuple[int, int, int, int, int]] = []
+    open_spans: dict[int, list[int]] = {}
+    for k, n, state in automaton.matches(_words(text)):
+        for item, m in automaton.items_at(state, n):
+            span = open_spans.get(item)
+            if span and k - m + 1 <= span[1] + 1:
+                span[0], span[1], span[2] = min(span[0], k - m + 1), k, max(span[2], m)
+            else:
+                if span:
+                    rows.append((doc, item, *span))
+                open_spans[item] = [k - m + 1, k, m]
+    rows += [(doc, item, *span) for item, span in open_spans.items()]
+    if not rows:
+        return rows
+    place = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    return [(d, i, place[a][0], place[b][1], m) for d, i, a, b, m in rows]
+
+
+def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, start, end, words): longest stretches of a document that an item shares, in characters.
 
     Stretches of one item that overlap are one row, ``words`` being the longest run in it. Null and blank texts and items
     shorter than ``min_words`` give no row.
     """
-    parts = []
-    for block in _blocks(items, min_words):
-        automaton = PassageAutomaton(block, min_words)  # of bounded size; Spark broadcasts large closures
-
-        def scan(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows: list[tuple[int, int, int, int, int]] = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    open_spans: dict[int, list[int]] = {}
-                    for k, n, state in automaton.matches(_words(text)):
-                        for item, m in automaton.items_at(state, n):
-                            span = open_spans.get(item)
-                            if span and k - m + 1 <= span[1] + 1:
-                                span[0], span[1], span[2] = min(span[0], k - m + 1), k, max(span[2], m)
-                            else:
-                                if span:
-                                    rows.append((doc, item, *span))
-                                open_spans[item] = [k - m + 1, k, m]
-                    if open_spans:
-                        rows += [(doc, item, *span) for item, span in open_spans.items()]
-                    if rows and rows[-1][0] == doc:
-                        place = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-                        first = next(k for k, r in enumerate(rows) if r[0] == doc)
-                        rows[first:] = [(d, i, place[a][0], place[b][1], m) for d, i, a, b, m in rows[first:]]
-                columns = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
-                    names=["doc_id", "item_id", "start", "end", "words"],
-                )
-
-        parts.append(documents.where("text is not null").select("doc_id", "text").mapInArrow(scan, "doc_id long, item_id long, start int, end int, words int"))
-    if not parts:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, end int, words int")
-    return reduce(DataFrame.unionAll, parts)
+    spark = documents.sparkSession
+    schema = "doc_id long, item_id long, start int, end int, words int"
+    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), 0)))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_words))
+    runs = cut_lineage(_item_runs(items, min_words, blocks))
+    marks, bits = _filter(runs)
+    shared = spark.sparkContext.broadcast(marks)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, known = _RunHashes(min_words), shared.value
+        for batch in batches:
+            kept, hits = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                found = np.unique(hasher.of(_words(text)))
+                for j in range(FILTER_HASHES):
+                    if not len(found):
+                        break
+                    slot = _slot(found, bits, j)
+                    found = found[(known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+                if len(found):
+                    kept.append(k), hits.append(found)
+            at = pa.array(np.cumsum([0, *map(len, hits)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(hits) if hits else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int32())), batch.column(1).take(pa.array(kept, pa.int32())), lists], names=["doc_id", "text", "runs"])
+
+    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    maybe = cut_lineage(texts.mapInArrow(sift, "doc_id long, text string, runs array<long>"))
+    concerned = maybe.select("doc_id", F.explode("runs").alias("run")).join(runs, "run").select("doc_id", "block").distinct()
+    routed = cut_lineage(maybe.select("doc_id", "text").join(concerned, "doc_id"))
+    shares = routed.groupBy("block").agg(F.ceil(F.sum(F.length("text")) / TASK_CHARS).cast("long").alias("shares"))
+    routed = routed.join(shares, "block").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares"))).select("block", "share", "doc_id", "text")
+    one = F.lit(0).cast("long")
+    placed = items.withColumn("block", _block_of(blocks)).join(shares, "block").withColumn("share", F.explode(F.sequence(one, F.col("shares") - 1))).select("block", "share", "item_id", "text")
+
+    def scan(docs: pa.Table, held: pa.Table) -> pa.Table:
+        rows: list[tuple[int, int, int, int, int]] = []
+        words = [(item, w) for item, text in zip(held.column("item_id").to_pylist(), held.column("text").to_pylist()) if len(w := _words(text)) >= min_words]
+        if words and docs.num_rows:
+            automaton = PassageAutomaton(words, min_words)
+            for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()):
+                rows += _spans(automaton, doc, text)
+        columns = list(zip(*rows)) or [()] * 5
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "start", "end", "words"])
+
+    return routed.groupBy("block", "share").cogroup(placed.groupBy("block", "share")).applyInArrow(scan, schema)
 
 
 def clean_documents(documents: DataFrame, spans: DataFrame, most_coverage: float = MOST_COVERAGE) -> DataFrame:

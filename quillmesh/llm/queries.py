@@ -13,12 +13,16 @@ def _timed_messages(spark, sf_dir):
     return normalize_times(rows, "timestamp", rules, "date")
 
 
-def p2_turns(spark, sf_dir):
+def _turns(spark, sf_dir):
     return conversations.rebuild_conversations(_timed_messages(spark, sf_dir), table(spark, sf_dir, "speakers"))
 
 
+def p2_turns(spark, sf_dir):
+    return conversations.with_texts(_turns(spark, sf_dir), table(spark, sf_dir, "messages"))
+
+
 def p2_found(spark, sf_dir):
-    return p2_turns(spark, sf_dir).select("conv_id", "turn", "message_id")
+    return _turns(spark, sf_dir).select("conv_id", "turn", "message_id")
 
 
 def p4_pieces(spark, sf_dir):

@@ -189,6 +189,50 @@ def test_personal_information_on_held_out_texts(spark):
     assert pii.find_personal(fields.where("false"), model).count() == 0
 
 
+def test_names_that_training_never_met(spark):
+    rng = random.Random(11)
+    people = spark.createDataFrame([(k, f"{g} {f}", None) for k, (g, f) in enumerate((g, f) for g in GIVEN for f in FAMILIES)], "id long, name string, aliases string")
+    rows = [("messages", i, "text", " ".join(made(rng, t)[0] for t in rng.sample(TEMPLATES, 3))) for i in range(900)]
+    model = pii.fit_model(spark.createDataFrame(rows, "source_table string, row_id long, field_name string, text string"), people)
+    given, family = ["John", "Jane", "Priya", "Kwame", "Ingrid", "Pedro", "Wei", "Olga", "Omar", "Sara"], ["Smith", "Doe", "Raghunathan", "Nkrumah", "Solheim", "Almeida", "Zhang", "Petrova", "Haddad", "Okafor"]
+    frames = ["Ask {} about the barrels.", "The letter came from {}.", "Dr. {} signed the sheet.", "talked to {} about the boat", "Mr. {} wrote to us."]
+    hits = [any(text[a:b] == name and kind == "person_name" for a, b, kind in model.find(text)) for name in (f"{g} {f}" for g in given for f in family) for text in [rng.choice(frames).format(name)]]
+    assert sum(hits) >= 0.9 * len(hits), sum(hits)
+
+
+def test_similar_tokens_share_an_edge(spark):
+    nodes = pii.nodes_of("Anna Kosbalatlow met Anna Kosbalatlöw, then Anna Kosbaltlow and Kos-balatlow, Anna.", frozenset(), frozenset(), frozenset())
+    pairs = {(nodes[a].text, nodes[b].text) for a, b in pii.similar_tokens(nodes)}
+    assert {("Kosbalatlow", "Kosbalatlöw"), ("Kosbalatlöw", "Kosbaltlow"), ("Anna", "Anna")} <= pairs and not any({a, b} >= {"Anna", "Kosbalatlow"} for a, b in pairs)
+
+
+def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "SPLIT_ROWS", 100)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>")
+    got = {(r.id, r.neighbor_id) for r in neighbors.nearest(df, "chunk_id", "embedding").collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    cos = np.round(u @ u.T, 9)
+    np.fill_diagonal(cos, -2)
+    assert got == {(i, int(j)) for i in range(500) for j in np.argsort(-cos[i], kind="stable")[:5]}
+
+
+def test_recall_of_many_buckets_and_other_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BUCKET_ROWS", 128)
+    rng = np.random.default_rng(10)
+    centres = rng.standard_normal((300, 32))
+    x = (centres[rng.integers(0, 300, 4000)] + 0.5 * rng.standard_normal((4000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>")
+    got = {(r.id, r.neighbor_id) for r in neighbors.nearest(df, "chunk_id", "embedding", dimensions=32).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    cos = np.round(u @ u.T, 9)
+    np.fill_diagonal(cos, -2)
+    want = {(i, int(j)) for i in range(4000) for j in np.argsort(-cos[i], kind="stable")[:5]}
+    assert len(got & want) >= 0.95 * len(want)
+
+
 def test_model_without_any_data(spark):
     none = spark.createDataFrame([], "source_table string, row_id long, field_name string, text string")
     people = spark.createDataFrame([], "id long, name string, aliases string")

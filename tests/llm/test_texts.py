@@ -36,6 +36,16 @@ def test_pieces(spark):
     assert all(p.content.endswith(". ") for p in out[6][:-1]) and all(p.content.endswith("\n\n") for p in out[7][:-1])
 
 
+def test_overlap_is_as_large_as_the_words_allow():
+    rng = random.Random(8)
+    for _ in range(60):
+        words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12))) + rng.choice(["", "", "", ",", ".", "\n\n"]) for _ in range(900)]
+        spans = splitting.cut_points(" ".join(words), 500, 50)
+        overlaps = [b - c for (_, b), (c, _) in zip(spans, spans[1:])]
+        assert overlaps and all(200 - 16 <= o <= 200 for o in overlaps)
+    assert [b - c for (_, b), (c, _) in zip(*(lambda s: (s, s[1:]))(splitting.cut_points("x" * 9_000, 500, 50)))] == [200] * 4
+
+
 def test_encoding_round_trip(spark):
     rng = random.Random(2)
     texts = [random_text(rng, rng.randrange(1, 80)) for _ in range(60)] + [None, "", " ", "<|endoftext|>", "a" * 20_000, "oak", "oak", "x\u0000 12", "ꙮ ա1 ﻿"]
@@ -83,6 +93,17 @@ def test_leakage_against_brute_force(spark):
     assert leakage.leaked_spans(df, item_df.where("false")).count() == 0
 
 
+def test_leakage_in_many_blocks_and_shares(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(leakage, "TASK_CHARS", 2_000)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(30))) for i in range(60)]
+    texts = [" ".join([*(f"x{rng.randrange(400)}" for _ in range(20)), *items[rng.randrange(60) if k % 3 else 5][1].split()[4:17], "end"]) for k in range(120)]
+    df, item_df = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda **k: sorted(tuple(r) for r in leakage.leaked_spans(df, item_df, **k).collect())
+    few, many = rows(), rows(block_words=100)
+    assert few == many and len({d for d, *_ in few}) == 120
+
+
 def test_stuffed_pages(spark):
     sentence = "The old barrel stood behind the house, and we opened it after the rain. "
     texts = [
