@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from ..operators.timestamps import ZoneRules, normalize_times
 from ..session import table
 from . import conversations, encoding, leakage, names, neighbors, pii, splitting, stuffing
@@ -33,6 +36,16 @@ def p4_found(spark, sf_dir):
     return p4_pieces(spark, sf_dir).where("piece = 0 and n_pieces > 1").select("chunk_id")
 
 
+def p4_cover(spark, sf_dir):
+    """Of every oversized chunk: characters that its pieces cover in order, pieces over the limit, gaps, overlaps over the limit."""
+    end = F.col("start") + F.length("content")
+    before = F.lag(end).over(Window.partitionBy("chunk_id").orderBy("piece"))
+    rows = p4_pieces(spark, sf_dir).where("n_pieces > 1").withColumn("_end", end).withColumn("_before", F.coalesce(before, F.lit(0)))
+    return rows.groupBy("chunk_id").agg(
+        F.max("_end").cast("long").alias("chars"), F.count_if(F.col("token_count") > 500).alias("oversized"), F.count_if(F.col("start") > F.col("_before")).alias("gaps"), F.count_if(F.col("_before") - F.col("start") > 200).alias("wide"),
+    )
+
+
 def _fields_and_model(spark, sf_dir):
     fields = pii.text_fields(lambda name: table(spark, sf_dir, name))
     return fields, pii.fit_model(fields, table(spark, sf_dir, "people"))
@@ -91,6 +104,7 @@ QUERIES = {
     "p2_turns": p2_turns,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_cover": p4_cover,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p6_found": p6_found,
@@ -104,6 +118,11 @@ QUERIES = {
     "p10_found": p10_found,
 }
 ORACLE: dict[str, str] = {
+    "p4_cover": "SELECT id AS chunk_id, length(content) AS chars, 0::BIGINT AS oversized, 0::BIGINT AS gaps, 0::BIGINT AS wide FROM chunks WHERE greatest(1, length(content) // 4) > 500",
+    "p6_found": """WITH v AS (SELECT chunk_id, embedding::DOUBLE[] AS e FROM chunk_embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.chunk_id <> b.chunk_id),
+      r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS place FROM p)
+      SELECT DISTINCT least(x, y) AS chunk_id, greatest(x, y) AS neighbor_id FROM r WHERE place <= 5""",
     "p4_found": "SELECT id AS chunk_id FROM chunks WHERE greatest(1, length(content) // 4) > 500",
     "p9_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM eval_items),
       dg AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 8), lambda k: array_to_string(ws[k:k + 9], ' '))) AS gram FROM d WHERE len(ws) >= 10),
