@@ -59,6 +59,31 @@ def with_item(items: Column, item: Column) -> Column:
     return F.when(F.array_contains(items, item), items).otherwise(F.array_append(items, item))
 
 
+def tags_csv(text: Column) -> Column:
+    """Tags joined by commas, an empty text where there are none. [SCA08]"""
+    listed = F.array_join(list_field(text, "tags"), ",")
+    plain = F.coalesce(get_field(text, "tags"), F.lit(""))
+    return F.when((listed == "") & ~plain.startswith("["), plain).otherwise(listed)
+
+
+def set_list(text: Column, name: str, items: Column) -> Column:
+    """Text with a list field replaced by an inline list, whatever form it had. [SET07, DML22]"""
+    dashes = F.regexp_replace(block(text), rf"(?m)^{name}:[ \t]*\n(?:[ \t]*-[ \t]+.*\n?)+", f"{name}: []\n")
+    flat = F.when(block(text).isNull(), text).otherwise(F.concat(F.lit("---\n"), dashes, F.lit("---\n"), body(text)))
+    return set_field(flat, name, inline_list(items))
+
+
+def add_to_list(text: Column, name: str, item: Column) -> Column:
+    """Text with an item in a list field; one that is there already changes nothing. [SET06, DML22, SCA57]"""
+    return F.when(F.array_contains(list_field(text, name), item), text).otherwise(set_list(text, name, with_item(list_field(text, name), item)))
+
+
+def migrated_people(text: Column) -> Column:
+    """Text with ``people`` as an inline list of ``Name`` or ``Name (id)``; texts without the field stay. [DML21]"""
+    shown = F.transform(people_field(text), lambda p: F.when(p["id"].isNull(), p["name"]).otherwise(F.concat(p["name"], F.lit(" ("), p["id"].cast("string"), F.lit(")"))))
+    return F.when(F.coalesce(block(text).rlike("(?m)^people:"), F.lit(False)), set_list(text, "people", shown)).otherwise(text)
+
+
 def inline_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 

@@ -108,6 +108,26 @@ def clock_24h(text: Column) -> Column:
     return F.when(minute != "", made).otherwise(text)
 
 
+def _long_day(day: Column, year: bool) -> Column:
+    return F.date_format(day, "MMMM d, yyyy" if year else "MMMM d")
+
+
+def days_title(days: Column) -> Column:
+    """Title of a sorted array of days: a span where none is missing, else their number and the ends. [SCA27]"""
+    first, last = F.element_at(days, 1), F.element_at(days, -1)
+    whole = F.datediff(last, first) + 1 == F.size(days)
+    span = F.concat(F.when(F.year(first) == F.year(last), _long_day(first, False)).otherwise(_long_day(first, True)), F.lit(" – "), _long_day(last, True))
+    return F.when(whole, span).otherwise(F.concat(F.size(days).cast("string"), F.lit(" days, "), _long_day(first, True), F.lit(" – "), _long_day(last, True)))
+
+
+def days_file(days: Column) -> Column:
+    """``YYYY/pdf/...`` of a sorted array of days. [SCA27]"""
+    first, last = F.element_at(days, 1).cast("string"), F.element_at(days, -1).cast("string")
+    whole = F.datediff(F.element_at(days, -1), F.element_at(days, 1)) + 1 == F.size(days)
+    name = F.when(F.size(days) == 1, first).when(whole, F.concat(first, F.lit("_to_"), last)).otherwise(F.concat(first, F.lit("_plus_"), (F.size(days) - 1).cast("string")))
+    return F.concat(F.substring(first, 1, 4), F.lit("/pdf/"), name, F.lit(".pdf"))
+
+
 def minute_of_day(text: Column) -> Column:
     """Minutes after midnight of a text that starts with HH:MM, else null. [SCA19]"""
     part = lambda k: F.regexp_extract(text, r"^(\d{1,2}):(\d{2})", k).try_cast("int")

@@ -35,6 +35,11 @@ def parse_day_files(files: DataFrame, key: str, text_column: str) -> DataFrame:
     return grouped.select("key", "pos", "time", "sender", text.alias("text"), F.flatten(F.transform("pictures", lambda p: p["photos"])).alias("photos"))
 
 
+def day_files(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(path, day) of files named YYYY-MM-DD.md, in any folder. [SRC19]"""
+    return paths.where(F.col(path).rlike(r"(^|/)[0-9]{4}-[0-9]{2}-[0-9]{2}\.md$")).select(F.col(path).alias("path"), F.regexp_extract(path, r"([0-9-]{10})\.md$", 1).alias("day"))
+
+
 def search(messages: DataFrame, query: str, since: str | None = None, until: str | None = None, sender: str | None = None) -> DataFrame:
     """Messages whose text holds the query (case ignored, any script), by day range and sender. An empty query finds none. [FLT15]"""
     if not query:

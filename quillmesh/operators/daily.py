@@ -22,6 +22,13 @@ def priorities(text: Column) -> Column:
     return checklist_items(F.regexp_extract(text, _SECTION, 1))
 
 
+def template_labels(text: Column) -> Column:
+    """Labels of a template: checkbox lines and bare bullets; their state is ignored. [SRC18]"""
+    line = r"^- (?:\[[ xX]\] )?(\S.*)$"
+    lines = F.filter(F.split(F.regexp_replace(text, r"(?m)[ \t]+$", ""), "\n"), lambda x: x.rlike(line))
+    return F.transform(lines, lambda x: F.trim(F.regexp_extract(x, line, 1)))
+
+
 def rendered(items: Column) -> Column:
     """Checkbox lines of an array of items. [SCA34]"""
     return F.array_join(F.transform(items, lambda i: F.concat(F.lit("- ["), F.when(i["done"], F.lit("x")).otherwise(F.lit(" ")), F.lit("] "), i["task"])), "\n")

@@ -67,6 +67,53 @@ def vocabulary(df: DataFrame, column: str, constant: Iterable[str]) -> DataFrame
     return df.select(F.col(column).alias("value")).where("value is not null").union(fixed).distinct()
 
 
+def by_name(df: DataFrame, name: str = "name") -> DataFrame:
+    """Rows with ``place`` by name, ASCII case ignored, then id. [SRT07]"""
+    return numbered(df.withColumn("_k", ascii_lower(F.col(name))), "place", "_k", "id").drop("_k")
+
+
+def with_producer(items: DataFrame, producers: DataFrame, query: str, kind: str | None = None, status: str | None = None) -> DataFrame:
+    """Items with ``producer_name`` whose own or producer's name holds the query, of a kind (ASCII case ignored) and status. [JOI07, FLT03]"""
+    both = items.join(producers.select(F.col("id").alias("producer_id"), F.col("name").alias("producer_name")), "producer_id")
+    both = find_by_name(both, query, "name", "producer_name")
+    if kind is not None:
+        both = both.where(ascii_lower(F.col("type")) == "".join(c.lower() if c.isascii() else c for c in kind))
+    return both if status is None else both.where(F.col("status") == status)
+
+
+# States of an item.
+STATUSES = ("wishlist", "acquired", "in-cellar", "consumed", "gifted")
+
+
+def checked_items(rows: DataFrame) -> DataFrame:
+    """New items with their defaults: quantity 1, status in-cellar; a row without name or producer, or with an unknown status or a
+    negative quantity, raises. [DML10]"""
+    full = rows.withColumn("quantity", F.coalesce("quantity", F.lit(1))).withColumn("status", F.coalesce("status", F.lit("in-cellar")))
+    good = F.col("name").isNotNull() & F.col("producer_id").isNotNull() & F.col("status").isin(*STATUSES) & (F.col("quantity") >= 0)
+    return full.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("bad item: "), F.coalesce("name", F.lit(""))))))
+
+
+def event_fault(rating: Column, day: Column) -> Column:
+    """What is wrong with a tasting: a rating outside 0 to 100, a day that is none; null where nothing is. [DML12]"""
+    real = F.coalesce(day.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.lit(False))
+    return F.when((rating < 0) | (rating > 100), F.lit("rating")).when(day.isNotNull() & (day != "") & ~real, F.lit("day"))
+
+
+def add_events(events: DataFrame, new: DataFrame) -> DataFrame:
+    """Events with the new ones, whose ids follow the largest, in the order of ``bottle_id`` and day; a faulty one raises. [DML12]"""
+    fault = event_fault(F.col("rating"), F.col("tasted_at"))
+    good = new.where(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault)))
+    top = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    fresh = numbered(good, "_n", "bottle_id", "tasted_at").join(top, F.lit(True)).withColumn("id", F.col("_top") + F.col("_n"))
+    return events.unionByName(fresh.drop("_n", "_top"), allowMissingColumns=True)
+
+
+def rate(items: DataFrame, events: DataFrame, ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, events): a tasting for each row of ``ratings`` (bottle_id, tasted_at, rating), and the latest of them on the item. [DML12]"""
+    last = ratings.where("rating is not null").groupBy("bottle_id").agg(F.max_by("rating", F.struct("tasted_at", "rating")).alias("rating"))
+    return update(items, last.withColumnRenamed("bottle_id", "id"), ["rating"]), add_events(events, ratings)
+
+
 def search_both(producers: DataFrame, items: DataFrame, query: str) -> DataFrame:
     """(kind, id, name) of producers and items whose name holds the query. [SET05, RET09]"""
     tag = lambda df, kind: find_by_name(df, query, "name").select(F.lit(kind).alias("kind"), "id", "name")

@@ -19,6 +19,16 @@ def find(people: DataFrame, query: str) -> DataFrame:
     return find_by_name(people.select(*SHOWN), query, "name").orderBy("name")
 
 
+def resolve_person(people: DataFrame, key: str | int, listed: int = 20) -> DataFrame:
+    """The one person with this id, or whose name holds the text; none or several raise, naming up to ``listed`` matches. [FLT06]"""
+    text = str(key)
+    hits = people.where(F.col("id") == int(text)) if text.isdigit() else find_by_name(people, text, "name")
+    found = [f"{r['id']} {r['name']}" for r in hits.select("id", "name").orderBy("name", "id").limit(listed + 1).collect()]
+    if len(found) != 1:
+        raise LookupError(f"No person found matching {key!r}" if not found else f"Ambiguous person {key!r}, matches: {found[:listed]}")
+    return hits
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     """(id, record): each row as JSON without its nulls. [FLT08, SNK09]"""
     return rows.select("id", F.to_json(F.struct(*rows.columns)).alias("record"))

@@ -67,18 +67,33 @@ def of_type(edges: DataFrame, wanted: str) -> DataFrame:
     return edges.where(F.col("relative_is") == wanted)
 
 
-def missing_reciprocals(edges: DataFrame) -> DataFrame:
-    """Not inferred edges without any edge back. [JOI05]"""
-    own = edges.where(~F.coalesce("inferred", F.lit(False)) & (F.col("person_id") != F.col("relative_id")))
+def without_way_back(edges: DataFrame) -> DataFrame:
+    """Edges between two different people without any edge back, of whatever type; inferred ones, too. [DML08]"""
     back = edges.select(F.col("relative_id").alias("person_id"), F.col("person_id").alias("relative_id")).distinct()
-    return own.join(back, ["person_id", "relative_id"], "left_anti")
+    return edges.join(back, ["person_id", "relative_id"], "left_anti")
 
 
-def conflicting_directions(edges: DataFrame) -> DataFrame:
-    """Pairs of edges of one type in both directions whose type isn't symmetric, smaller id first. [JOI04]"""
-    a = edges.select("person_id", "relative_id", "relative_is").distinct()
-    b = a.select(F.col("relative_id").alias("person_id"), F.col("person_id").alias("relative_id"), "relative_is")
-    return a.where((F.col("person_id") < F.col("relative_id")) & ~F.col("relative_is").isin(*SYMMETRIC_TYPES)).join(b, KEY, "left_semi")
+def _told(edges: DataFrame) -> DataFrame:
+    return edges.where(~F.coalesce("inferred", F.lit(False)))
+
+
+def _between_known(edges: DataFrame, people: DataFrame) -> DataFrame:
+    ids = people.select(F.col("id").alias("person_id")).distinct()
+    return edges.join(ids, "person_id", "left_semi").join(ids.withColumnRenamed("person_id", "relative_id"), "relative_id", "left_semi")
+
+
+def missing_reciprocals(edges: DataFrame, people: DataFrame) -> DataFrame:
+    """Edges of existing people that somebody told (not inferred) and that have no edge back. [JOI05]"""
+    return _between_known(_told(without_way_back(edges)), people)
+
+
+def conflicting_directions(edges: DataFrame, people: DataFrame) -> DataFrame:
+    """(id, person_id, relative_id, relative_is): told edges from a smaller to a larger id whose type stands in the other
+    direction, too, though it isn't symmetric; one row for each edge back. [JOI04]"""
+    one_way = edges.where(~F.col("relative_is").isin(*SYMMETRIC_TYPES))
+    up = _between_known(_told(one_way.where("person_id < relative_id")), people)
+    down = one_way.where("person_id > relative_id").select(F.col("relative_id").alias("person_id"), F.col("person_id").alias("relative_id"), "relative_is")
+    return up.join(down, KEY).select("id", *KEY)
 
 
 def orphan_edges(edges: DataFrame, people: DataFrame) -> DataFrame:
@@ -90,29 +105,38 @@ def orphan_edges(edges: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def integrity_issues(edges: DataFrame, people: DataFrame) -> DataFrame:
-    """(severity, issue, item_id): every finding of the six checks. Edges are named by id, people by id. [DML07]"""
+    """(severity, issue, item_id): every finding of the six checks. Edges are named by id, people by id. [DML07]
+
+    Inferred edges carry computed names, so they are exempt from the checks of types, of directions and of edges back.
+    """
     tag = lambda df, issue, severity="error": df.select(F.lit(severity).alias("severity"), F.lit(issue).alias("issue"), F.col("id").alias("item_id"))
-    conflicts = edges.join(conflicting_directions(edges), KEY, "left_semi")
+    loops = _between_known(edges.where("person_id = relative_id"), people)
     return (
-        tag(missing_reciprocals(edges), "missing_reciprocal")
-        .unionAll(tag(conflicts, "conflicting_direction"))
-        .unionAll(tag(edges.where(~F.col("relative_is").isin(*VALID_TYPES) | F.col("relative_is").isNull()), "unknown_type"))
+        tag(missing_reciprocals(edges, people), "missing_reciprocal")
+        .unionAll(tag(conflicting_directions(edges, people), "conflicting_direction"))
+        .unionAll(tag(_told(edges.where(~F.col("relative_is").isin(*VALID_TYPES))), "unknown_type"))
         .unionAll(tag(orphan_edges(edges, people), "orphan"))
-        .unionAll(tag(edges.where("person_id = relative_id"), "self_relationship"))
-        .unionAll(tag(people.where("gender is null or gender = ''"), "missing_gender", "warning"))
+        .unionAll(tag(loops, "self_relationship"))
+        .unionAll(tag(people.where(F.col("gender").isNull() | ~F.col("gender").isin("M", "F", "NB")), "missing_gender", "warning"))
     )
 
 
 def integrity_summary(issues: DataFrame) -> DataFrame:
-    """(severity, issue, n) [AGG14]"""
+    """(severity, issue, n)"""
     return issues.groupBy("severity", "issue").agg(F.count("*").alias("n"))
 
 
+def integrity_verdict(issues: DataFrame) -> DataFrame:
+    """One row: errors, warnings, and ok where there is no error. [AGG14]"""
+    out = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    return out.withColumn("ok", F.col("errors") == 0)
+
+
 def repaired(edges: DataFrame, people: DataFrame) -> DataFrame:
     """(person_id, relative_id, relative_is): edges without loops, with all reciprocals that were missing. [DML08]"""
     kept = edges.where("person_id <> relative_id").select(*KEY).distinct()
     genders = people.select(F.col("id").alias("person_id"), "gender")
-    lost = missing_reciprocals(edges).join(genders, "person_id", "left")
+    lost = without_way_back(edges).join(genders, "person_id", "left")
     back = lost.select(F.col("relative_id").alias("person_id"), F.col("person_id").alias("relative_id"), reciprocal_type(F.col("relative_is"), F.col("gender")).alias("relative_is"))
     return kept.unionAll(back.where("relative_is is not null")).distinct()
 
@@ -190,6 +214,12 @@ def undirected_once(edges: DataFrame) -> DataFrame:
     return first.select("e.person_id", "e.relative_id", "relative_is")
 
 
+def drawable(edges: DataFrame) -> DataFrame:
+    """Edges for drawing without inferred ones to descendants, which the edge of the other side shows already. [GRA12]"""
+    down = F.col("relative_is").rlike("son|daughter|child|nephew|niece")
+    return edges.where(~(F.coalesce("inferred", F.lit(False)) & F.coalesce(down, F.lit(False))))
+
+
 def mermaid(edges: DataFrame, people: DataFrame) -> DataFrame:
     """(line_no, line): a Mermaid graph, one row per line in order, for a text sink. [SNK03]"""
     named = with_names(undirected_once(edges), people)

@@ -33,14 +33,6 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(texts: DataFrame, id_column: str, *columns: str) -> DataFrame:
-    """(id, term, tf, length): term counts over all given columns together; length counts all terms of the row."""
-    joined = F.concat_ws("\n", *[F.col(c) for c in columns])
-    rows = texts.select(F.col(id_column).alias("id"), terms(joined).alias("ts"))
-    counted = rows.select("id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
-    return counted.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-
-
 def parse_query(text: str) -> list[list[str]] | None:
     """Phrases of a query (single words are phrases of one); None where the syntax is malformed. [RET02]
 

@@ -53,23 +53,26 @@ def relatives_wives(spark, d):
     return relations.of_type(named, "wife").select("id", "relative_name")
 
 
-_MISSING = """SELECT r.id FROM relationships r WHERE coalesce(r.inferred, false) = false AND r.person_id <> r.relative_id
-  AND NOT EXISTS (SELECT 1 FROM relationships b WHERE b.person_id = r.relative_id AND b.relative_id = r.person_id)"""
-_CONFLICT = f"""SELECT DISTINCT a.person_id, a.relative_id, a.relative_is FROM relationships a JOIN relationships b
-  ON b.person_id = a.relative_id AND b.relative_id = a.person_id AND b.relative_is = a.relative_is
-  WHERE a.person_id < a.relative_id AND a.relative_is NOT IN ({_SYMMETRIC})"""
+_KNOWN = "person_id IN (SELECT id FROM people) AND relative_id IN (SELECT id FROM people)"
+_LONE = "SELECT person_id, relative_id FROM relationships EXCEPT SELECT relative_id, person_id FROM relationships"
+_MISSING = f"SELECT id FROM relationships JOIN ({_LONE}) lone USING (person_id, relative_id) WHERE NOT coalesce(inferred, false) AND {_KNOWN}"
+# edges grouped by their unordered pair: those up that were told, times those down
+_CONFLICT = f"""SELECT least(person_id, relative_id) AS person_id, greatest(person_id, relative_id) AS relative_id, relative_is,
+    count(*) FILTER (person_id < relative_id AND NOT coalesce(inferred, false)) * count(*) FILTER (person_id > relative_id) AS n
+  FROM relationships WHERE {_KNOWN} AND relative_is NOT IN ({_SYMMETRIC}) GROUP BY 1, 2, 3 HAVING n > 0"""
 _ORPHAN = """SELECT r.id, r.person_id AS missing_id, 'person' AS side FROM relationships r WHERE r.person_id NOT IN (SELECT id FROM people)
   UNION ALL SELECT r.id, r.relative_id, 'relative' FROM relationships r WHERE r.relative_id NOT IN (SELECT id FROM people)"""
 
 
 @query("edges_missing_reciprocal", _MISSING)
 def edges_missing_reciprocal(spark, d):
-    return relations.missing_reciprocals(_T(spark, d, "relationships")).select("id")
+    return relations.missing_reciprocals(_T(spark, d, "relationships"), _T(spark, d, "people")).select("id")
 
 
 @query("edges_conflicting", _CONFLICT)
 def edges_conflicting(spark, d):
-    return relations.conflicting_directions(_T(spark, d, "relationships"))
+    found = relations.conflicting_directions(_T(spark, d, "relationships"), _T(spark, d, "people"))
+    return found.groupBy("person_id", "relative_id", "relative_is").agg(F.count("*").alias("n"))
 
 
 @query("edges_orphaned", _ORPHAN)
@@ -77,21 +80,27 @@ def edges_orphaned(spark, d):
     return relations.orphan_edges(_T(spark, d, "relationships"), _T(spark, d, "people"))
 
 
-@query(
-    "integrity_summary",
-    f"""SELECT severity, issue, count(*) AS n FROM (
-      SELECT 'error' AS severity, 'missing_reciprocal' AS issue FROM ({_MISSING})
-      UNION ALL SELECT 'error', 'conflicting_direction' FROM relationships r JOIN ({_CONFLICT}) c USING (person_id, relative_id, relative_is)
-      UNION ALL SELECT 'error', 'unknown_type' FROM relationships WHERE relative_is IS NULL OR relative_is NOT IN ({_VALID})
-      UNION ALL SELECT 'error', 'orphan' FROM ({_ORPHAN})
-      UNION ALL SELECT 'error', 'self_relationship' FROM relationships WHERE person_id = relative_id
-      UNION ALL SELECT 'warning', 'missing_gender' FROM people WHERE gender IS NULL OR gender = ''
-    ) GROUP BY ALL""",
-)
+_ISSUES = f"""SELECT 'error' AS severity, 'missing_reciprocal' AS issue, count(*) AS n FROM ({_MISSING})
+      UNION ALL SELECT 'error', 'conflicting_direction', sum(n)::BIGINT FROM ({_CONFLICT})
+      UNION ALL SELECT 'error', 'unknown_type', count(*) FROM relationships WHERE NOT coalesce(inferred, false) AND relative_is NOT IN ({_VALID})
+      UNION ALL SELECT 'error', 'orphan', count(*) FROM ({_ORPHAN})
+      UNION ALL SELECT 'error', 'self_relationship', count(*) FROM relationships WHERE person_id = relative_id AND {_KNOWN}
+      UNION ALL SELECT 'warning', 'missing_gender', count(*) FROM people WHERE coalesce(gender, '') NOT IN ('M', 'F', 'NB')"""
+
+
+@query("integrity_summary", f"SELECT * FROM ({_ISSUES}) WHERE n > 0")
 def integrity_summary(spark, d):
     return relations.integrity_summary(relations.integrity_issues(_T(spark, d, "relationships"), _T(spark, d, "people")))
 
 
+@query(
+    "integrity_verdict",
+    f"SELECT coalesce(sum(n) FILTER (severity = 'error'), 0)::BIGINT AS errors, coalesce(sum(n) FILTER (severity = 'warning'), 0)::BIGINT AS warnings, coalesce(sum(n) FILTER (severity = 'error'), 0) = 0 AS ok FROM ({_ISSUES})",
+)
+def integrity_verdict(spark, d):
+    return relations.integrity_verdict(relations.integrity_issues(_T(spark, d, "relationships"), _T(spark, d, "people")))
+
+
 def _case(relation: str, gender: str) -> str:
     plain = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in relations.RECIPROCAL.items())
     by = " ".join(f"WHEN '{k}' THEN CASE WHEN {gender} = 'M' THEN '{m}' ELSE '{o}' END" for k, (m, o) in relations.RECIPROCAL_BY_GENDER.items())
@@ -110,7 +119,7 @@ def edges_reciprocal(spark, d):
     f"""SELECT DISTINCT person_id, relative_id, relative_is FROM (
       SELECT person_id, relative_id, relative_is FROM relationships WHERE person_id <> relative_id
       UNION ALL SELECT r.relative_id, r.person_id, {_case('r.relative_is', 'p.gender')} FROM relationships r
-        JOIN ({_MISSING}) m ON m.id = r.id LEFT JOIN people p ON p.id = r.person_id WHERE {_case('r.relative_is', 'p.gender')} IS NOT NULL)""",
+        JOIN ({_LONE}) lone USING (person_id, relative_id) LEFT JOIN people p ON p.id = r.person_id WHERE {_case('r.relative_is', 'p.gender')} IS NOT NULL)""",
 )
 def edges_repaired(spark, d):
     return relations.repaired(_T(spark, d, "relationships"), _T(spark, d, "people"))

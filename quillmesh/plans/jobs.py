@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.columns import numbered
 from ..operators import daily, indexing
 from ..operators.search import regex_excerpts
+from ..session import cut_lineage
 from ..sources.files import Snapshots
 
 
@@ -32,10 +33,11 @@ def index_run(store: Snapshots, scan: DataFrame, texts: DataFrame, embed: Callab
     Metadata stays null and is filled by a later job over the same snapshot, which can be resumed.
     """
     spark = scan.sparkSession
-    first = store.version() == 0
+    base = store.version()
+    first = base == 0
     files = spark.createDataFrame([], "id long, path string, content_hash string") if first else store.read("files")
     chunks = None if first else store.read("chunks")
-    diff = indexing.scan_diff(files, scan, whole)
+    diff = cut_lineage(indexing.scan_diff(files, scan, whole))  # used several times; the scan hashes files once
     kept_files, kept_chunks = indexing.apply_diff(files, diff, chunks if chunks is not None else files.select(F.col("id").alias("file_id")).limit(0))
     fresh = diff.where("status = 'new'").select("path", "content_hash")
     top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
@@ -47,7 +49,8 @@ def index_run(store: Snapshots, scan: DataFrame, texts: DataFrame, embed: Callab
     new_chunks = made if chunks is None else kept_chunks.unionByName(made)
     counts = diff.groupBy("status").agg(F.count("*").alias("n"))
     rows = counts.collect()
-    store.commit(files=all_files, chunks=new_chunks)
+    if set(r["status"] for r in rows) - {"unchanged"} or first:
+        store.commit(base, files=all_files, chunks=new_chunks)
     return spark.createDataFrame(rows, counts.schema)
 
 
@@ -62,7 +65,7 @@ def enrich_run(store: Snapshots, describe: Callable[[list[str]], list[str | None
         chunks = chunks.where("metadata is not null").unionByName(chosen)
     else:
         rest = pending.limit(0)
-    store.commit(files=store.read("files"), chunks=indexing.enriched(chunks, describe).unionByName(rest))
+    store.commit(chunks=indexing.enriched(chunks, describe).unionByName(rest))
     return store.read("chunks").where("metadata is null").count()
 
 

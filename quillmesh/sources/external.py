@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import lookup_rows
+
+MOST_ALIASES = 50_000
 TASK_SCHEMA = "struct<id:string,content:string,description:string,project_id:string,labels:array<string>,priority:int,due:struct<date:string,string:string>,is_completed:boolean>"
 
 
@@ -64,11 +67,12 @@ def resolved_locations(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """(query, zone, n): zone of the alias that equals the query, else of the one alias that holds it, or that it holds, as
     whole words; ``n`` counts the zones found (more than one is ambiguous and gives no zone). [SCA24]
 
-    ``aliases`` is a bounded dimension (alias, zone).
+    ``aliases`` is a dimension (alias, zone) of at most ``MOST_ALIASES`` rows; more raise.
     """
     q = queries.select("query", F.lower(F.trim("query")).alias("_q")).distinct()
     a = aliases.select(F.lower(F.trim("alias")).alias("_a"), "zone")
     words = lambda c: F.concat(F.lit(" "), F.array_join(F.split(c, r"\W+"), " "), F.lit(" "))
+    lookup_rows(a, MOST_ALIASES, "aliases")
     pairs = q.join(F.broadcast(a), (F.col("_q") == F.col("_a")) | words(F.col("_q")).contains(words(F.col("_a"))) | words(F.col("_a")).contains(words(F.col("_q"))), "left")
     exact = F.max(F.when(F.col("_q") == F.col("_a"), F.col("zone")))
     out = pairs.groupBy("query").agg(exact.alias("exact"), F.countDistinct("zone").alias("n"), F.min("zone").alias("any"))
@@ -77,7 +81,8 @@ def resolved_locations(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def looked_up(rows: DataFrame, column: str, fetch: Callable[[list[str]], list[str | None]], out: str, batch: int = 50) -> DataFrame:
     """Rows with the text that ``fetch`` gives for each value of a column, in batches inside the partitions: the adapter for
-    geocoding, zones, mail threads, photo metadata, hosted extraction and models. A failed call gives nulls. [SRC25, SRC28-29, UDF02-06]"""
+    geocoding, zones, mail threads, photo metadata, hosted extraction and models. A call that fails is
+    repeated value by value, and only values that fail by themselves have nulls. [SRC25, SRC28-29, UDF02-06]"""
 
     @F.pandas_udf("string")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -88,9 +93,18 @@ def looked_up(rows: DataFrame, column: str, fetch: Callable[[list[str]], list[st
                 try:
                     found += fetch(part)
                 except Exception:  # noqa: BLE001
-                    found += [None] * len(part)
+                    found += one_by_one(part)
             yield pd.Series(found, dtype=object)
 
+    def one_by_one(part: list[str]) -> list[str | None]:
+        again: list[str | None] = []
+        for value in part:
+            try:
+                again += fetch([value])
+            except Exception:  # noqa: BLE001
+                again.append(None)
+        return again
+
     return rows.withColumn(out, run(F.col(column)))
 
 

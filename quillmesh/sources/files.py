@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -133,37 +134,50 @@ def converted_html(pages: DataFrame, id_column: str, html_column: str) -> DataFr
 
 
 class Snapshots:
-    """Versions of tables under one folder; a pointer file names the current one and is replaced atomically. [DML26, STR08]"""
+    """Versions of tables under one folder of any Hadoop file system.
+
+    A version is a marker file that names the folder of each table. Markers are created exclusively, so of two writers that start
+    from one version the second one fails and nothing of it is seen; no lock can be left behind by a dead one. [DML26, STR08]
+    """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.root))
 
     def version(self) -> int:
-        try:
-            with open(os.path.join(self.root, "CURRENT"), encoding="utf-8") as f:
-                return int(json.load(f)["version"])
-        except (OSError, ValueError, KeyError):
-            return 0
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        return max((int(m[1]) for n in names if (m := re.fullmatch(r"version-(\d+)\.json", n))), default=0)
+
+    def _folders(self, version: int) -> dict[str, str]:
+        if not version:
+            return {}
+        return json.loads(self.spark.read.text(f"{self.root}/version-{version}.json", wholetext=True).first()[0])
 
     def open(self, table: str, schema: str) -> DataFrame:
         """The table, or an empty one of the schema where the store doesn't have it yet. [SRC01-03]"""
-        path = os.path.join(self.root, f"v{self.version()}", table)
-        return self.spark.read.schema(schema).parquet(path) if os.path.exists(path) else self.spark.createDataFrame([], schema)
+        folder = self._folders(self.version()).get(table)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], schema)
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.root, f"v{self.version()}", table))
+        return self.spark.read.parquet(f"{self.root}/{self._folders(self.version())[table]}")
 
-    def commit(self, **tables: DataFrame) -> int:
-        """Write all tables as the next version, then flip the pointer; a crash before leaves the old version current."""
-        new = self.version() + 1
+    def commit(self, base: int | None = None, **tables: DataFrame) -> int:
+        """Write tables and make them the version after ``base`` (the current one by default); tables that aren't given stay as
+        they are and are not written again. Raises where another writer was first."""
+        base = self.version() if base is None else base
+        folders, run = self._folders(base), uuid.uuid4().hex[:12]
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(os.path.join(self.root, f"v{new}", name))
-        temporary = os.path.join(self.root, "CURRENT.tmp")
-        with open(temporary, "w", encoding="utf-8") as f:
-            json.dump({"version": new}, f)
-        os.replace(temporary, os.path.join(self.root, "CURRENT"))
-        return new
+            folders[name] = f"{name}-{base + 1}-{run}"
+            df.write.parquet(f"{self.root}/{folders[name]}")
+        try:
+            out = self._fs.create(self._path(f"{self.root}/version-{base + 1}.json"), False)
+        except Exception as e:
+            raise RuntimeError(f"version {base + 1} was written by another writer") from e
+        out.write(json.dumps(folders).encode())
+        out.close()
+        return base + 1
 
 
 def assert_unique(df: DataFrame, *keys: str) -> None:

@@ -85,7 +85,7 @@ def test_check_and_repair(spark, people):
     rows = [(1, 1, 2, "friend", False), (2, 2, 3, "parent", None), (3, 3, 2, "parent", False), (4, 1, 1, "friend", False), (5, 1, 9, "boss", True)]
     edges = spark.createDataFrame(rows, EDGE)
     found = {(r.issue, r.item_id) for r in relations.integrity_issues(edges, people).collect()}
-    assert found == {("missing_reciprocal", 1), ("conflicting_direction", 2), ("unknown_type", 5), ("orphan", 5), ("self_relationship", 4), ("missing_gender", 3)}
+    assert found == {("missing_reciprocal", 1), ("conflicting_direction", 2), ("orphan", 5), ("self_relationship", 4), ("missing_gender", 3)}
     fixed = triples(relations.repaired(edges, people))
     assert (2, 1, "friend") in fixed and (1, 1, "friend") not in fixed
 

@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.operators import people
+from quillmesh.functions import frontmatter, text
+from quillmesh.operators import daily, indexing, inventory, people, relations
 from quillmesh.plans import jobs
 from quillmesh.sources import external, files
 
@@ -70,3 +71,60 @@ def test_reports_and_adapters(spark, tmp_path):
     stream = spark.readStream.schema("path string").parquet(str(tmp_path / "src"))
     q = jobs.notify(stream, out.extend, str(tmp_path / "ck"))
     assert q.awaitTermination(60) and out == [{"path": "p"}] and jobs.progress(q)["active"] is False
+
+
+def test_person_by_part_of_the_name(spark):
+    rows = spark.createDataFrame([(1, "Greta Kosbalatlow"), (2, "Gretel Wolf"), (12, "Ann")], "id long, name string")
+    assert people.resolve_person(rows, "kosba").first()["id"] == 1 and people.resolve_person(rows, 12).first()["name"] == "Ann"
+    with pytest.raises(LookupError, match="1 Greta Kosbalatlow.*2 Gretel Wolf"):
+        people.resolve_person(rows, "gret")
+    with pytest.raises(LookupError, match="No person"):
+        people.resolve_person(rows, "nobody")
+
+
+def test_items_and_tastings(spark):
+    items = spark.createDataFrame([("Red", 1, None, None), ("White", 1, 3, "wishlist")], "name string, producer_id long, quantity int, status string")
+    assert [(r.quantity, r.status) for r in inventory.checked_items(items).orderBy("name").collect()] == [(1, "in-cellar"), (3, "wishlist")]
+    with pytest.raises(Exception, match="bad item"):
+        inventory.checked_items(items.withColumn("status", F.lit("lost"))).collect()
+    events = spark.createDataFrame([(4, 1, "2024-01-01", 80)], "id long, bottle_id long, tasted_at string, rating int")
+    new = spark.createDataFrame([(1, "2024-02-01", 90), (2, None, None)], "bottle_id long, tasted_at string, rating int")
+    stock = spark.createDataFrame([(1, 70), (2, 60)], "id long, rating int")
+    rated, all_events = inventory.rate(stock, events, new)
+    assert {(r.id, r.rating) for r in rated.collect()} == {(1, 90), (2, 60)} and {(r.id, r.bottle_id) for r in all_events.collect()} == {(4, 1), (5, 1), (6, 2)}
+    for bad in ((1, "2024-02-30", 50), (1, "2024-02-01", 101)):
+        with pytest.raises(Exception):
+            inventory.add_events(events, spark.createDataFrame([bad], "bottle_id long, tasted_at string, rating int")).collect()
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    store = files.Snapshots(spark, str(tmp_path / "store"))
+    base = store.commit(a=spark.range(3), b=spark.range(5))
+    assert store.commit(base, a=spark.range(4)) == 2 and store.read("b").count() == 5 and store.read("a").count() == 4
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.commit(base, a=spark.range(9))
+    assert store.version() == 2 and store.read("a").count() == 4
+
+
+def test_note_lists_and_titles(spark):
+    note = "---\ndate: 2024-01-02\ntags:\n- a\n- b\npeople:\n- Ann Cole (3)\n- Bob\n---\nBody\n"
+    row = spark.createDataFrame([(note,)], "t string").select(
+        frontmatter.tags_csv(F.col("t")).alias("csv"), frontmatter.set_list(F.col("t"), "tags", F.array(F.lit("x"))).alias("set"), frontmatter.add_to_list(F.col("t"), "tags", F.lit("a")).alias("same"),
+        frontmatter.migrated_people(F.col("t")).alias("people"), text.days_title(F.sequence(F.lit("2023-12-30").cast("date"), F.lit("2024-01-02").cast("date"))).alias("title"),
+        text.days_file(F.array(F.lit("2024-01-02").cast("date"), F.lit("2024-01-09").cast("date"))).alias("file"), daily.template_labels(F.lit("x\n- [x] one \n- two\n-three\n")).alias("labels"),
+    ).first()
+    assert row.csv == "a,b" and row.same == note and row.set == "---\ndate: 2024-01-02\ntags: [x]\npeople:\n- Ann Cole (3)\n- Bob\n---\nBody\n"
+    assert "people: [Ann Cole (3), Bob]\n" in row.people and row.title == "December 30, 2023 – January 2, 2024" and row.file == "2024/pdf/2024-01-02_plus_1.pdf" and row.labels == ["one", "two"]
+
+
+def test_integrity_exempts_inferred_edges(spark):
+    edges = spark.createDataFrame([(1, 1, 2, "cousin", True), (2, 1, 2, "cousin", False), (3, 1, 9, "friend", False), (4, 2, 3, "parent", None), (5, 3, 2, "parent", True)], "id long, person_id long, relative_id long, relative_is string, inferred boolean")
+    everyone = spark.createDataFrame([(1, "M"), (2, "X"), (3, "NB")], "id long, gender string")
+    issues = relations.integrity_issues(edges, everyone)
+    assert {(r.issue, r.item_id) for r in issues.collect()} == {("missing_reciprocal", 2), ("unknown_type", 2), ("conflicting_direction", 4), ("orphan", 3), ("missing_gender", 2)}
+    assert tuple(relations.integrity_verdict(issues).first()) == (4, 1, False)
+
+
+def test_paragraph_window_bounds():
+    assert indexing.window_bounds([100, 300, 200, 600, 50], 500, 200) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    assert indexing.window_bounds([300, 150, 150, 400], 500, 200) == [(0, 2), (1, 3), (2, 4)] and indexing.window_bounds([], 500, 200) == []
