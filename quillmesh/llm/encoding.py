@@ -20,10 +20,11 @@ from ..session import cut_lineage
 TOKENIZER = os.environ.get("QUILLMESH_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 FREQUENT_SHARE = 16_384
 
-# Scripts on which the pattern below and the tokenizer's own splitter agree for every code point; texts with other
-# characters go through the tokenizer's splitter.
+# Scripts on which the pattern below and the byte-level splitter agree for every code point; texts with other characters, and
+# all texts of tokenizers with another splitter, go through the tokenizer's own.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _OTHER = r"[^\u0000-ԯ֐-߿ -₀₠-₰℀-⏿─-⟿　-ヿ一-龥가-힣＀-ﾟ]"
+_PROBE = "It's don't we'LL a1_b  12 3456 3.5\n\n x\t\tÜnder, (été)…  日本語の 가나! --\r\n end  "
 
 
 class _Splitter:
@@ -35,11 +36,15 @@ class _Splitter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pattern, self.other = regex.compile(_PATTERN), regex.compile(_OTHER)
+        if self.tokenizer.pre_tokenizer is None or self.tokenizer.normalizer is not None:
+            raise ValueError("only tokenizers that split words and leave the text as it is can encode word by word")
+        self.fast = self._split(_PROBE) == self.pattern.findall(_PROBE)  # another tokenizer has other words
+
+    def _split(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def words(self, text: str) -> list[str]:
-        if self.other.search(text):
-            return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        return self.pattern.findall(text)
+        return self.pattern.findall(text) if self.fast and not self.other.search(text) else self._split(text)
 
 
 def word_dictionary(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:

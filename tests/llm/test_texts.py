@@ -167,3 +167,22 @@ def test_repeated_words_against_brute_force():
                 if end - at[k] >= 4 and any(ws[j : j + n] == ws[k : k + n] for j in range(len(ws) - n + 1) if j != k):
                     covered |= set(range(at[k], end))
         assert stuffing.repeated_words(text).count(1) == len(covered)
+
+
+def test_other_kinds_of_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    kinds = {}
+    for name, splitter, normalizer in (("none", None, None), ("lower", pre_tokenizers.ByteLevel(add_prefix_space=False), normalizers.Lowercase()), ("digits", pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)]), None)):
+        tokenizer = Tokenizer(models.BPE())
+        if splitter is not None:
+            tokenizer.pre_tokenizer = splitter
+        if normalizer is not None:
+            tokenizer.normalizer = normalizer
+        kinds[name] = str(tmp_path / f"{name}.json")
+        tokenizer.save(kinds[name])
+    for name in ("none", "lower"):
+        with pytest.raises(ValueError, match="word by word"):
+            encoding._Splitter(kinds[name])
+    other = encoding._Splitter(kinds["digits"])
+    assert not other.fast and "".join(other.words("a 123")) == "a 123" and "123" not in other.words("a 123")
