@@ -76,6 +76,9 @@ TOKEN = regex.compile(rf"{_WORD}|\p{{Lu}}\.")
 _HINT = regex.compile(r"\d|@| dot |[(\[{](?:dot|at)[)\]}]|\p{Lu}(?:[\p{L}\p{M}'’-]*|\.),? \p{Lu}")
 _LOWER = regex.compile(r"[\p{L}-]+")
 _NEXT = regex.compile(r"[ \t]*(?:([\p{L}-]+)|(\S))")
+# around a given name in lower case
+_BEHIND_NAME, _BEFORE_NAME = regex.compile(r",? (?:\p{Ll}\. )?\p{Ll}{6,}(?![\w@])"), regex.compile(r"(?<!\p{Ll})\p{Ll}{6,}, $")
+_GLUE, _GLUE_BEFORE = regex.compile(r"[\w@]"), regex.compile(r"[\w@.'’-]")
 _SPLIT, _LOWER_TOKEN = re.compile(r"[\s,;:]+"), regex.compile(r"\p{Ll}\.|\p{Ll}+")
 
 # fixed values: words that announce a number of each label, for the training sample
@@ -134,19 +137,26 @@ def _free(runs: Iterator[list[tuple[int, int, str]]], taken: list[tuple[int, int
             yield part
 
 
-def _runs(text: str, given: frozenset[str], common: frozenset[str]) -> Iterator[list[tuple[int, int, str]]]:
-    """Runs of words that may be a name, with their tokens: capitalised, or around a given name in lower case."""
+def _runs(text: str, met: frozenset[str], common: frozenset[str]) -> Iterator[list[tuple[int, int, str]]]:
+    """Runs of words that may be a name, with their tokens: capitalised, or around a given name (of those met) in lower case."""
     for m in RUN.finditer(text):
         tokens = [(t.start() + m.start(), t.end() + m.start(), t[0]) for t in TOKEN.finditer(m[0])]
         if len(tokens) > 1:
             yield tokens
-    for name in given.intersection(_SPLIT.split(text)):
-        if len(name) < 3:
-            continue
-        for m in regex.finditer(rf"(?<![\w@.'’-])(?:{name},? (?:\p{{Ll}}\. )?\p{{Ll}}{{6,}}|\p{{Ll}}{{6,}}, {name})(?![\w@])", text):
-            tokens = [(t.start() + m.start(), t.end() + m.start(), t[0]) for t in _LOWER_TOKEN.finditer(m[0])]
-            if any(t[-ENDING:] in common and len(t) >= LEAST_LETTERS for *_, t in tokens):
-                yield tokens
+    for name in met:
+        at = text.find(name) if len(name) >= 3 else -1
+        while at >= 0:
+            end = at + len(name)
+            low, high = at, 0
+            if m := _BEHIND_NAME.match(text, end):
+                high = m.end()
+            elif (m := _BEFORE_NAME.search(text, max(0, at - 40), at)) and not _GLUE.match(text, end):
+                low, high = m.start(), end
+            if high and not (low and _GLUE_BEFORE.match(text, low - 1)):
+                tokens = [(t.start() + low, t.end() + low, t[0]) for t in _LOWER_TOKEN.finditer(text[low:high])]
+                if any(t[-ENDING:] in common and len(t) >= LEAST_LETTERS for *_, t in tokens):
+                    yield tokens
+            at = text.find(name, end)
 
 
 def nodes_of(text: str, given: frozenset[str], endings: frozenset[str], common: frozenset[str], hide: Callable[[str], bool] = lambda word: False) -> list[Node]:
@@ -154,7 +164,8 @@ def nodes_of(text: str, given: frozenset[str], endings: frozenset[str], common:
 
     ``common`` are the endings that a word in lower case needs beside a given name. Given names and endings for which ``hide`` holds are candidates, but their features are those of unknown words.
     """
-    if not _HINT.search(text) and given.isdisjoint(_SPLIT.split(text)):
+    met = given.intersection(_SPLIT.split(text))
+    if not met and not _HINT.search(text):
         return []
     nodes, taken = [], []
     for m in _segments(text):
@@ -169,7 +180,7 @@ def nodes_of(text: str, given: frozenset[str], endings: frozenset[str], common:
         features = [f"{kind}", f"{kind}|{form}", f"{kind}|{min(digits, 16)}"] + [f"{kind}<{w}" for w in words] + [f"{kind}<1{words[-1]}" if words else f"{kind}<1"]
         nodes.append(Node(a, b, m[0], SEGMENT_LABELS[kind], features, -1, m[0]))
         taken.append((a, b))
-    for tokens in _free(_runs(text, given, common), taken):
+    for tokens in _free(_runs(text, met, common), taken):
         head = text[max(0, tokens[0][0] - 30) : tokens[0][0]]
         line = head.rpartition("\n")[2]
         before = _LOWER.findall(line)
