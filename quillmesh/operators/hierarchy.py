@@ -146,10 +146,10 @@ def lines_of_descent(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     ways, more = _solve_reduced(segments, edges)
     rings = cut_lineage(rings.unionAll(more).distinct())
     if not rings.isEmpty():
+        # a way that avoids all members is one of segments that do, so the solution is filtered, not made again
         members = rings.select(F.explode("ring").alias("member")).distinct()
-        touched = segments.select("path", F.explode("path").alias("member")).join(members, "member", "left_semi").select("path").distinct()
-        segments = cut_lineage(segments.join(touched, "path", "left_anti"))
-        ways, _ = _solve_reduced(segments, edges)
+        apart = lambda df: df.join(df.select("path", F.explode("path").alias("member")).join(members, "member", "left_semi").select("path").distinct(), "path", "left_anti").select(*df.columns)
+        segments, ways = cut_lineage(apart(segments)), cut_lineage(apart(ways))
     children = edges.select(F.col("child").alias("stop")).distinct()
     roots = edges.select(F.col("parent").alias("stop")).distinct().join(children, "stop", "left_anti").select("stop", F.array("stop").alias("path"))
     tops = roots.unionAll(ways)
