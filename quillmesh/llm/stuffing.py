@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .automaton import TokenAutomaton
 
 MIN_CHARS = 200
@@ -140,6 +141,7 @@ def function_words(documents: DataFrame) -> dict[str, int]:
     lang = _page_language(F.col("lang")) if "lang" in documents.columns else F.lit("--")
     texts = documents.where(f"length(text) >= {MIN_CHARS}").select(lang.alias("lang"), "text")
     counts = texts.mapInArrow(count, "lang string, word string, n long, pages long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+    counts = cut_lineage(counts)  # read twice below; the texts are read once
     whole = counts.where("word = ''").select("lang", F.col("n").alias("all_n"), F.col("pages").alias("all_pages"))
     # a word under a five-hundredth of the running words is not among the first; so at most 500 a language reach the window
     frequent = counts.where("word <> ''").join(F.broadcast(whole), "lang").where((F.col("n") >= F.col("all_n") / 500) & (F.col("pages") >= LEAST_PAGES * F.col("all_pages")))
