@@ -41,7 +41,7 @@ TITLES = frozenset("dr prof mr mrs ms miss rev sir dame herr frau mme m.".split(
 SUFFIXES = frozenset("jr sr msc bsc phd md ii iii esq".split())
 # fixed values: words of a house's name that name its trade, behind and in front of the rest; more of them, other endings and
 # abbreviations are learned
-TRADES_BEHIND = "vineyards distillery spirits estate brewery cellars winery".split()
+TRADES_BEHIND = "vineyards distillery spirits estate brewery brewing cellars winery".split()
 TRADES_IN_FRONT = "chateau weingut saint casa quinta bodegas domaine".split()
 # fixed values: other words of a house's name that name nothing
 HOUSE_FILLERS = frozenset("the and sons daughters son co company ltd limited llc inc gmbh kg sa srl plc de del du la le of old label export bottler no".split())
@@ -128,6 +128,8 @@ class Trades:
         if len(word) < 2:
             return ""
         fits = {self.same[t] for t in self.same if self.first[t] == first and _short_for(word, t)}
+        if not fits and len(word) >= 5:  # long enough to be told at the other place, too
+            fits = {self.same[t] for t in self.same if _short_for(word, t)}
         return fits.pop() if len(fits) == 1 else ""
 
     def tokens(self, name: str) -> tuple[str, str] | None:

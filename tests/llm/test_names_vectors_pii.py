@@ -192,7 +192,7 @@ def test_personal_information_on_held_out_texts(spark):
 def test_names_that_training_never_met(spark):
     rng = random.Random(11)
     people = spark.createDataFrame([(k, f"{g} {f}", None) for k, (g, f) in enumerate((g, f) for g in GIVEN for f in FAMILIES)], "id long, name string, aliases string")
-    rows = [("messages", i, "text", " ".join(made(rng, t)[0] for t in rng.sample(TEMPLATES, 3))) for i in range(900)]
+    rows = [("messages", i, "text", " ".join(made(rng, t)[0] for t, _ in rng.sample(TEMPLATES, 3))) for i in range(900)]
     model = pii.fit_model(spark.createDataFrame(rows, "source_table string, row_id long, field_name string, text string"), people)
     given, family = ["John", "Jane", "Priya", "Kwame", "Ingrid", "Pedro", "Wei", "Olga", "Omar", "Sara"], ["Smith", "Doe", "Raghunathan", "Nkrumah", "Solheim", "Almeida", "Zhang", "Petrova", "Haddad", "Okafor"]
     frames = ["Ask {} about the barrels.", "The letter came from {}.", "Dr. {} signed the sheet.", "talked to {} about the boat", "Mr. {} wrote to us."]
@@ -261,6 +261,15 @@ def test_misspellings_link_however_often_they_are_met(spark, n):
     assert want | {pair(("konstantin", "wolkenstein"), ("konstatin", "wolkenstien"))} <= found
 
 
+def test_trade_words_and_their_forms():
+    trades = names.Trades([(w, 0.0) for w in names.TRADES_BEHIND] + [(w, 1.0) for w in names.TRADES_IN_FRONT])
+    for name in ("Quabendisac Brewing Company", "Brewing Company Quabendisac", "Quabendisac Brwg.", "Quabendisac Brewers", "The Quabendisac Brewery Ltd"):
+        assert trades.tokens(name) == ("brewery", "quabendisac")
+    for name in ("Ch. Quabendisac", "Château Quabendisac, S.A.", "Quabendisac, Chateau"):
+        assert trades.tokens(name) == ("chateau", "quabendisac")
+    assert trades.tokens("Estate") is None and trades.tokens("") is None
+
+
 def test_classes_and_learned_trades(spark):
     house = lambda i, name: (i, name, "Molenport", "UK", None, "clash")
     rows = [house(k, f"{w} Skola") for k, w in enumerate(["Brimfalont", "Gostaruvek", "Trelimandos", "Pavoskintal"], 1)] + [house(9, "Brimfalont Skla"), house(10, "Gostaruvek Brewing Co.")]

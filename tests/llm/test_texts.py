@@ -155,6 +155,10 @@ def test_repeated_signs_against_brute_force():
         assert stuffing.repeated_signs(t, 4).count(1) == len(covered)
 
 
+def test_numbers_of_different_lengths_repeat_each_other():
+    assert stuffing.repeated_words("oak 12345 rum 7").count(1) == 5 and stuffing.repeated_words("a 7 b 9").count(1) == 0
+
+
 def test_repeated_words_against_brute_force():
     rng = random.Random(5)
     for _ in range(40):
