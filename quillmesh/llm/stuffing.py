@@ -68,21 +68,20 @@ class RepeatAutomaton(TokenAutomaton):
 
 def _marks(size: int, spans: list[tuple[int, int]], tokens: list[str], least: int) -> bytearray:
     """A mark for each of ``size`` characters inside repeated runs of tokens of at least ``least`` characters."""
-    counts, pairs = Counter(tokens), Counter(zip(tokens, tokens[1:]))
-    # no repeat holds a token or a pair of neighbours that occurs once, nor a short token alone (numbers are alike, but not of one
-    # length); so runs end there
-    alone = {t for t, (a, b) in zip(tokens, spans) if b - a >= least}
+    counts = Counter(tokens)
+    # a token that occurs once is in no repeat, so it ends a run
     numbers: dict[str, int] = {}
     runs: list[list[int]] = []
     firsts: list[int] = []
-    linked = False  # with the token before
+    inside = False
     for k, t in enumerate(tokens):
-        onward = k + 1 < len(tokens) and pairs[t, tokens[k + 1]] > 1
-        if counts[t] > 1 and (linked or onward or t in alone):
-            if not linked:
-                runs.append([]), firsts.append(k)
-            runs[-1].append(numbers.setdefault(t, len(numbers)))
-        linked = onward
+        if counts[t] == 1:
+            inside = False
+            continue
+        if not inside:
+            runs.append([]), firsts.append(k)
+            inside = True
+        runs[-1].append(numbers.setdefault(t, len(numbers)))
     marks = bytearray(size)
     reach = size  # everything from here on is decided
     for r, k, n in RepeatAutomaton(runs).longest_repeats():
