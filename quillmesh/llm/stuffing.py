@@ -29,7 +29,7 @@ MIN_WORDS = 12
 MIN_REPEAT = 4  # characters of a repeat that counts
 FUNCTION_MASS = 0.25
 FUNCTION_LETTERS = 6
-LEAST_FUNCTION_WORDS = 0.15  # of the words of a clause; half of what running text has
+LEAST_FUNCTION_WORDS = FUNCTION_MASS / 2  # of the words of a clause; half of what running text has
 LEAST_HIRAGANA = 0.25  # of the signs of a Japanese clause
 MOST_CLAUSELESS = 0.5
 LEAST_PAGES = 0.2  # share of the pages of its language that a function word is on
